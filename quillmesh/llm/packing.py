@@ -13,8 +13,11 @@ separator; a row with a null or repeated doc_id is a document of its own; no row
 
 from __future__ import annotations
 
+import json
 import math
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,42 +30,78 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import Sink, cuts, rows
 from quillmesh.storage import materialize
 
+#: Texts that are split and merged here, and how; the tokenizer's own pattern says the same of these characters.
+_FAST = re.compile("[\\x20-\\x7e\\x09-\\x0d\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*").fullmatch
+_PIECES_OF = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff\\s]+").findall
 _READY: dict[str, WordIds] = {}
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, at long, level int, fill long"
 #: Bin numbers are (partition << _SHIFT) + count.
 _SHIFT = 34
 
 
-class WordIds:
+class WordIds(dict):
     """Token ids of whole texts for a tokenizer that drops white space and never joins words across it.
 
-    Words between ASCII white space are encoded once and kept; a text's ids are its words' ids one after the other.
+    A text's ids are those of its words between ASCII white space, one after the other. Texts of ASCII and Latin-1 letters,
+    digits and signs are split and merged here on plain bytes, by the ranks of the tokenizer's own vocabulary; all others by
+    the tokenizer. Pieces are kept while there is room, and all are dropped when too few of the kept ones still occur.
     """
 
-    def __init__(self, spec: str, most: int = 200_000):
+    def __init__(self, spec: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept, self.most = Tokenizer.from_str(spec), {}, most
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([w.decode("utf-8") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        super().__init__()
+        self.tokenizer, self.most, self.missed, self.seen = Tokenizer.from_str(spec), most, 0, 0
+        self.merges = self._byte_merges(json.loads(spec))
+
+    @staticmethod
+    def _byte_merges(spec: dict):
+        """The vocabulary as ranks of byte strings, the end of a word being a byte that UTF-8 doesn't have; None if ids don't follow the merges."""
+        model, end = spec["model"], spec["model"].get("end_of_word_suffix")
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        vocabulary = model["vocab"]
+        if end != "</w>" or any(vocabulary.get(a + b) != 512 + i for i, (a, b) in enumerate(merges)):
+            return None
+        import tiktoken
+
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+        ranks = {}
+        for token, rank in vocabulary.items():
+            if rank < 512 + len(merges):
+                bare = token.removesuffix(end)
+                ranks[bytes(byte[c] for c in bare) + b"\xff" * (bare != token)] = rank
+        if len(ranks) != 512 + len(merges):
+            return None
+        return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def __missing__(self, piece: str) -> bytes:
+        self.missed += 1
+        if len(piece) > 1000:
+            return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        out = array("I", self.merges(piece.encode("utf-8") + b"\xff")).tobytes()
+        if len(self) < self.most and len(piece) <= 64:
+            self[piece] = out
+        return out
+
+    def _word(self, word: str) -> bytes:
+        if self.merges is not None and len(word) < 1000 and "<|" not in word and _FAST(word):
+            return b"".join(map(self.__getitem__, _PIECES_OF(word.lower())))
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        out = []
-        for part in cuts(text.encode("utf-8")):
-            words = part.split()
-            try:
-                out.append(b"".join(map(self.kept.__getitem__, words)))
-            except KeyError:
-                if len(self.kept) > self.most:
-                    self.kept.clear()
-                new = list(set(words).difference(self.kept))
-                fresh = dict(zip(new, self._encode(new), strict=True))
-                self.kept.update((w, x) for w, x in fresh.items() if len(w) <= 64)
-                out.append(b"".join(fresh[w] if w in fresh else self.kept[w] for w in words))
-        return b"".join(out)
+        if self.merges is not None and len(text) < 1 << 20 and "<|" not in text and _FAST(text):
+            pieces = _PIECES_OF(text.lower())
+            self.seen += len(pieces)
+            out = b"".join(map(self.__getitem__, pieces))
+        else:
+            out = b"".join(self._word(w.decode("utf-8")) for part in cuts(text.encode("utf-8")) for w in part.split())
+        if self.seen > 1_000_000:
+            if len(self) >= self.most and self.missed > 0.3 * self.seen:
+                self.clear()
+            self.missed = self.seen = 0
+        return out
 
 
 def word_ids(spec) -> WordIds:

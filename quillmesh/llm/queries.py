@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import linededup, packing, simhash
+from quillmesh.llm import langid, linededup, packing, simhash
 
 #: The capacity and separator of packed sequences.
 CAPACITY, SEPARATOR = 2048, 0
@@ -37,6 +37,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), F.col("_qm_lang").alias("lang_pred"), F.col("_qm_score").alias("score"), F.col("_qm_rejected").alias("rejected"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), min_docs=3, min_chars=20)
     return out.select("doc_id", F.col("_qm_n_lines").alias("n_lines"), F.col("_qm_dropped").alias("n_dropped"), F.sha2("_qm_kept", 256).alias("kept_sha256"))
@@ -62,4 +68,4 @@ ORACLES = {
         from marked group by doc_id""",
 }
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_simhash, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_simhash, op4_language_id, op10_line_dedup)}
