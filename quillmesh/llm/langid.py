@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmesh.llm.common import Sink, cuts, rows
 
@@ -228,7 +229,6 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, *sink.batch().columns], names=[*part.schema.names, *added.names])
 
     added = pa.schema([("_qm_lang", pa.string()), ("_qm_score", pa.float64()), ("_qm_entropy", pa.float64()), ("_qm_rejected", pa.bool_())])
-    out = docs.schema
-    for name, kind in (("_qm_lang", "string"), ("_qm_score", "double"), ("_qm_entropy", "double"), ("_qm_rejected", "boolean")):
-        out = out.add(name, kind)
+    kinds = "_qm_lang string, _qm_score double, _qm_entropy double, _qm_rejected boolean"
+    out = T.StructType([*docs.schema.fields, *T._parse_datatype_string(kinds).fields])
     return docs.mapInArrow(run, out)

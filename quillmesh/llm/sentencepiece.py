@@ -130,6 +130,8 @@ class Pieces:
     def __init__(self, vocabulary: Vocabulary, most: int = 150_000):
         self.v, self.most, self.kept = vocabulary, most, {}
         self.base, self.check, self.value = (a.tolist() for a in vocabulary.trie)
+        # what each id decodes to
+        self.said = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k in (CONTROL, UNKNOWN) else p.encode("utf-8") for p, k in zip(vocabulary.pieces, vocabulary.kinds, strict=True)]
 
     def viterbi(self, unit: str) -> list[int]:
         """The ids of the best segmentation."""
@@ -191,13 +193,7 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """The text: bytes are joined, markers become spaces, the first marker goes."""
-        v, out = self.v, bytearray()
-        for i in ids:
-            if v.kinds[i] == BYTE:
-                out.append(int(v.pieces[i][3:5], 16))
-            elif v.kinds[i] not in (CONTROL, UNKNOWN):
-                out += v.pieces[i].encode("utf-8")
-        text = out.decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.said.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -210,20 +206,28 @@ def _pieces(shared) -> Pieces:
     return _READY[key]
 
 
-def encode(docs: DataFrame, model: bytes) -> DataFrame:
-    """doc_id, ids: the ids of each whole text; model is the model file's content."""
+def encode(docs: DataFrame, model: bytes, decoded: bool = False) -> DataFrame:
+    """doc_id, ids: the ids of each whole text; model is the model file's content.
+
+    decoded: also n_chars, n_ids, and whole: the ids decode to the very text.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(read_pieces(model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(shared)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                found = [(doc_id, pieces.encode(text or "")) for doc_id, text in rows([batch.slice(at, 512)], "doc_id", "text")]
-                sizes = np.cumsum([0, *(len(ids) for _, ids in found)])
-                ids = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([ids for _, ids in found]), pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), ids], names=["doc_id", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+                found = [(doc_id, text or "", pieces.encode(text or "")) for doc_id, text in rows([batch.slice(at, 512)], "doc_id", "text")]
+                sizes = np.cumsum([0, *(len(ids) for _, _, ids in found)])
+                ids = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([ids for _, _, ids in found]), pa.int32()))
+                out = {"doc_id": pa.array([d for d, _, _ in found], pa.int64()), "ids": ids}
+                if decoded:
+                    out |= {"n_chars": pa.array([len(t) for _, t, _ in found], pa.int64()), "n_ids": pa.array(np.diff(sizes), pa.int64())}
+                    out["whole"] = pa.array([pieces.decode(ids.tolist()) == t for _, t, ids in found], pa.bool_())
+                yield pa.RecordBatch.from_pydict(out)
+
+    kinds = "doc_id long, ids array<int>" + ", n_chars long, n_ids long, whole boolean" * decoded
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kinds)
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:

@@ -5,8 +5,9 @@ for any split of the bits into m parts and any thresholds t_i >= -1 with sum(t_i
 some part i. plan() groups correlated bits into parts and allocates unequal thresholds by dynamic programming on estimated
 candidate counts; probes() emits the signatures of each distinct fingerprint; _link() verifies candidates bucket by bucket.
 
-A bucket is searched as an implicit graph: a fingerprint leaves the search once it is reached, so a bucket gives at most
-one row per member, never its pairs. Exact copies share one fingerprint and enter once.
+A bucket gives a few links per member, never all its pairs: a dense one is searched as an implicit graph, which a
+fingerprint leaves once it is reached; a large one is split again on the bits that are left. Exact copies share one
+fingerprint and enter once.
 """
 
 from __future__ import annotations
@@ -155,64 +156,73 @@ def probes(fps: DataFrame, chosen: list[tuple[list[int], int]]) -> DataFrame:
                 flips.append(F.struct(F.lit(part).alias("part"), F.lit(_signed(mask)).cast("long").alias("mask"), F.lit(_signed(flip)).cast("long").alias("flip"), F.lit(_signed(1 << max(some, default=0))).cast("long").alias("top")))
     out = fps.select("fp", F.inline(F.array(*flips)))
     out = out.filter((F.col("flip") == 0) | (F.col("fp").bitwiseAND(F.col("top")) == 0))
-    return out.select(F.xxhash64("part", F.col("fp").bitwiseAND(F.col("mask")).bitwiseXOR(F.col("flip"))).alias("key"), "part", "fp")
+    return out.select(F.xxhash64("part", F.col("fp").bitwiseAND(F.col("mask")).bitwiseXOR(F.col("flip"))).alias("key"), "part", (F.col("flip") != 0).cast("int").alias("probing"), "fp")
 
 
-def _linked(fps: np.ndarray, radius: int, free: list[int], small: int = 256, large: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links that join every two of these fingerprints within the radius, directly or over others."""
-    n = len(fps)
-    if n <= small:
-        a, b = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius, 1))
-        if len(a):
-            yield fps[a], fps[b]
-    elif n > large and len(free) >= 4 * (radius + 1):
+def _linked(own: np.ndarray, probing: np.ndarray, radius: int, free: list[int], cells: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that join every own fingerprint and every other one within the radius, directly or over others.
+
+    At most four links a member come out: where there are more, the group is searched as a graph, and a member leaves the
+    search once it is reached.
+    """
+    everyone = np.concatenate([own, probing])
+    if len(own) * len(everyone) <= cells:
+        near = np.bitwise_count(own[:, None] ^ everyone[None, :]) <= radius
+        a, b = np.nonzero(np.triu(near, 1))
+        if len(a) <= 4 * len(everyone):
+            if len(a):
+                yield own[a], everyone[b]
+            return
+    elif len(free) >= 4 * (radius + 1):
         # exact again on the bits not yet used: radius + 1 parts, of which one agrees
         for k in range(radius + 1):
             bits = free[k :: radius + 1]
-            value = fps & np.uint64(sum(1 << b for b in bits))
-            order = np.argsort(value, kind="stable")
-            ends = np.flatnonzero(np.diff(value[order])) + 1
-            for part in np.split(order, ends):
-                if len(part) > 1:
-                    yield from _linked(fps[part], radius, [b for b in free if b not in bits], small, large)
-    else:
-        left = fps
-        while len(left):
-            front, left = left[:1], left[1:]
-            while len(front) and len(left):
-                near = np.bitwise_count(left ^ front[0]) <= radius
-                if near.any():
-                    yield np.repeat(front[:1], near.sum()), left[near]
-                    front, left = np.concatenate([front, left[near]]), left[~near]
-                front = front[1:]
+            mask = np.uint64(sum(1 << b for b in bits))
+            order = np.argsort(everyone & mask, kind="stable")
+            for some in np.split(order, np.flatnonzero(np.diff((everyone & mask)[order])) + 1):
+                mine = some < len(own)
+                if len(some) > 1 and mine.any():
+                    yield from _linked(everyone[some[mine]], everyone[some[~mine]], radius, [b for b in free if b not in bits], cells)
+        return
+    left = everyone
+    while len(left):
+        front, left = left[:1], left[1:]
+        while len(front) and len(left):
+            near = np.bitwise_count(left ^ front[0]) <= radius
+            if near.any():
+                yield np.repeat(front[:1], near.sum()), left[near]
+                front, left = np.concatenate([front, left[near]]), left[~near]
+            front = front[1:]
 
 
 def links(signatures: DataFrame, chosen: list[tuple[list[int], int]], radius: int, tasks: int) -> DataFrame:
-    """(a, b) fingerprints that link, at most one row for each member of a bucket beyond small buckets."""
+    """(a, b) fingerprints that link, or a part of these pairs that joins the same ones: a few rows for each member of a bucket."""
     free = [[b for b in range(BITS) if b not in bits] for bits, _ in chosen]
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        held = (np.zeros(0, np.int64),) * 4
         for batch in itertools.chain(batches, [None]):
             if batch is None:
-                key, part, fp = held
+                key, part, probing, fp = held
                 ends = np.append(np.flatnonzero(np.diff(key)) + 1, len(key))
             else:
-                key, part, fp = (np.concatenate([h, batch.column(k).to_numpy().astype(np.int64)]) for k, h in enumerate(held))
+                key, part, probing, fp = (np.concatenate([h, batch.column(k).to_numpy().astype(np.int64)]) for k, h in enumerate(held))
                 ends = np.flatnonzero(np.diff(key)) + 1
                 last = ends[-1] if len(ends) else 0
-                held = key[last:], part[last:], fp[last:]
+                held = key[last:], part[last:], probing[last:], fp[last:]
             starts = np.append(0, ends[:-1]) if len(ends) else ends
+            owns = np.append(0, np.cumsum(probing == 0))
             found = []
-            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                if e - s > 1:
-                    found += _linked(fp[s:e].view(np.uint64), radius, free[part[s]])
+            for s, e, n in zip(starts.tolist(), ends.tolist(), (owns[ends] - owns[starts]).tolist(), strict=True):
+                if n and e - s > 1:
+                    x = fp[s:e].view(np.uint64)
+                    found += _linked(x[:n], x[n:], radius, free[part[s]])
             if found:
                 a, b = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
-    return signatures.repartition(tasks, "key").sortWithinPartitions("key", "part").mapInArrow(run, "a long, b long")
+    return signatures.repartition(tasks, "key").sortWithinPartitions("key", "part", "probing").mapInArrow(run, "a long, b long")
 
 
 def near_groups(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
@@ -236,3 +246,50 @@ def near_groups(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
 
 def hex_fingerprint(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+def _jaccard(a: str | None, b: str | None, words: int) -> float:
+    x, y = (np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t or "", words)])) for t in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 10, similarity: float = 0.8, rounds: int = 3) -> DataFrame:
+    """docs without those that are near copies of a document that stays.
+
+    A component's document of the smallest doc_id stays; those of the same text, or whose shingle sets' Jaccard similarity to it is
+    `similarity` or more, go. The others of the component are compared with the smallest of their own, `rounds` times in all, and
+    stay if none fits. Of rows that share a doc_id and a text one stays; rows with a null doc_id stay. Columns pass through.
+    """
+    named = docs.filter("doc_id is not null")
+    groups = near_groups(named, words, radius).select(F.col("doc_id").alias("_qm_id"), F.col("component_id").alias("_qm_group"))
+    several = groups.groupBy("_qm_group").agg(F.count("*").alias("_qm_n")).filter("_qm_n > 1").select("_qm_group")
+    texts = named.select(F.col("doc_id").cast("long").alias("_qm_id"), F.col("text").cast("string").alias("_qm_text"))
+    left = materialize(texts.join(groups.join(several, "_qm_group").distinct(), "_qm_id").withColumn("_qm_hash", F.xxhash64("_qm_text")), "grouped")
+    schema = pa.schema([("_qm_id", pa.int64()), ("_qm_hash", pa.int64()), ("_qm_near", pa.bool_())])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sink = Sink(schema)
+        for doc_id, hashed, text, first in rows(batches, "_qm_id", "_qm_hash", "_qm_text", "_qm_first"):
+            if sink.add(doc_id, hashed, _jaccard(text, first, words) >= similarity):
+                yield sink.batch()
+        yield sink.batch()
+
+    goes = None
+    for k in range(rounds):
+        first = left.groupBy("_qm_group").agg(F.min(F.struct("_qm_id", "_qm_hash")).alias("_qm_root"))
+        roots = left.join(first, "_qm_group").filter((F.col("_qm_id") == F.col("_qm_root._qm_id")) & (F.col("_qm_hash") == F.col("_qm_root._qm_hash")))
+        roots = roots.groupBy("_qm_group").agg(F.first("_qm_hash").alias("_qm_first_hash"), F.first("_qm_id").alias("_qm_first_id"), F.first("_qm_text").alias("_qm_first"))
+        both = left.join(roots, "_qm_group").filter("_qm_id != _qm_first_id or _qm_hash != _qm_first_hash")
+        same = both.filter("_qm_hash = _qm_first_hash").select("_qm_id", "_qm_hash")
+        # several documents of one text are compared once
+        other = both.filter("_qm_hash != _qm_first_hash")
+        judged = other.select("_qm_id", "_qm_hash", "_qm_text", "_qm_first").mapInArrow(verify, "_qm_id long, _qm_hash long, _qm_near boolean")
+        found = materialize(judged.unionByName(same.withColumn("_qm_near", F.lit(True))), f"near{k}")
+        near = found.filter("_qm_near").select("_qm_id", "_qm_hash")
+        goes = near if goes is None else goes.unionByName(near)
+        if k < rounds - 1:
+            rest = found.filter("not _qm_near").select("_qm_id", "_qm_hash").distinct()
+            left = materialize(left.join(rest, ["_qm_id", "_qm_hash"]), "left")
+    goes = goes.distinct().withColumnsRenamed({"_qm_id": "_qm_goes_id", "_qm_hash": "_qm_goes_hash"})
+    return docs.join(goes, (docs["doc_id"] == goes["_qm_goes_id"]) & (F.xxhash64(docs["text"]) == goes["_qm_goes_hash"]), "left_anti")
