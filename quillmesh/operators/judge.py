@@ -83,7 +83,7 @@ class HttpJudge:
                     pictures = frame[image] if image else [None] * len(frame)
                     yield frame.assign(reply=list(pool.map(self._ask, frame[prompt], pictures)))
 
-        return df.mapInPandas(run, df.withColumn("reply", F.lit("")).schema)
+        return df.mapInPandas(run, df.withColumn("reply", F.lit(None).cast("string")).schema)
 
 
 def judge(df: DataFrame, prompt: str, schema: str, backend, into: str = "verdict") -> DataFrame:

@@ -21,7 +21,7 @@ def layouts_of(docs: DataFrame) -> DataFrame:
 
 def doc_id_of_file(pattern: str = r"doc_?(\d+)[_.]"):
     """The document's number in the file's name, not in its folders'."""
-    return F.regexp_extract(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), pattern, 1).cast("int")
+    return F.regexp_extract(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), pattern, 1).try_cast("int")
 
 
 def stage(spark: SparkSession, path: str, schema: str, glob: str = "doc*.json") -> DataFrame:
@@ -45,7 +45,7 @@ def answers(spark: SparkSession, path: str, system: str) -> DataFrame:
 
 def doc_ids(spark: SparkSession, path: str) -> DataFrame:
     """One document's number a line."""
-    return spark.read.text(path).select(F.trim("value").cast("int").alias("doc_id")).filter("doc_id is not null")
+    return spark.read.text(path).select(F.trim("value").try_cast("int").alias("doc_id")).filter("doc_id is not null")
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
