@@ -55,7 +55,7 @@ def _grams(words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.nda
     code, grams = np.zeros(len(text), np.uint64), []
     for k in range(ORDER):
         back = np.zeros(len(text), np.uint64)
-        back[k:] = text[: len(text) - k]
+        back[k:] = text[: max(len(text) - k, 0)]
         code = code + (back + np.uint64(7)) * np.uint64(pow(0x100000001B3, k + 1, 1 << 64))
         mixed = (code ^ (code >> np.uint64(29))) * _MIX[0]
         mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX[1] + np.uint64(k)
