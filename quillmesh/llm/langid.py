@@ -29,6 +29,8 @@ ORDER = 5
 START, END = chr(1), chr(2)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _RUNS = re.compile(r"[^\W\d_]+")
+#: ASCII letters lower-cased, all other ASCII to spaces: what letters() says of tokens, before there are any.
+_PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 #: The one context of 1-grams.
 _NONE = np.uint64(1)
 
@@ -166,11 +168,18 @@ class Judge:
             np.add.at(self.sums, first + token, table[[number[r] for some in runs for r in some]])
         self.kept.update(zip(tokens, range(first, first + len(tokens)), strict=True))
 
+    def prepare(self, texts: list[str | None]) -> None:
+        """Learn the new tokens of several texts at once; long texts learn their own."""
+        new = set().union(*(t.encode("utf-8", "replace").translate(_PLAIN).split() for t in texts if t and len(t) < 100_000)) if self.models else set()
+        if new := list(new.difference(self.kept)):
+            for at in range(0, len(new), 50_000):
+                self._learn(new[at : at + 50_000])
+
     def total(self, text: str) -> np.ndarray:
         """Log-probabilities per language, then characters."""
         out = np.zeros(self.sums.shape[1])
         for part in cuts(text.encode("utf-8", "replace")):
-            tokens = part.split()
+            tokens = part.translate(_PLAIN).split()
             for at in range(0, len(tokens), 50_000):
                 some = tokens[at : at + 50_000]
                 if new := list(set(some).difference(self.kept)):
@@ -221,10 +230,11 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                sink = Sink(added)
-                for (text,) in rows([part], "text"):
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                sink, texts = Sink(added), [text for (text,) in rows([part], "text")]
+                judge.prepare(texts)
+                for text in texts:
                     sink.add(*judge(text))
                 yield pa.RecordBatch.from_arrays([*part.columns, *sink.batch().columns], names=[*part.schema.names, *added.names])
 
