@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.common import SPACES
 
+_SALTS = 32
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -38,7 +39,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Data
     lines = lines.select("_qm_id", "_qm_text_hash", "_qm_at", F.xxhash64("_qm_key").alias("_qm_h1"), F.xxhash64(F.lit(1), "_qm_key").alias("_qm_h2"))
     often = lines.groupBy("_qm_h1", "_qm_h2").agg(F.count_distinct("_qm_id").alias("_qm_docs"), F.max("_qm_id").alias("_qm_stays"))
     often = often.filter(F.col("_qm_docs") >= min_docs).select("_qm_h1", "_qm_h2", "_qm_stays")
-    gone = lines.join(often, ["_qm_h1", "_qm_h2"]).filter("_qm_id != _qm_stays")
+    # A line of a third of all documents would meet its row in one task: dealt by a salt too, it meets a copy in each of many.
+    often = often.withColumn("_qm_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    salted = lines.withColumn("_qm_salt", F.pmod(F.xxhash64("_qm_id"), F.lit(_SALTS)).cast("int"))
+    gone = salted.join(often, ["_qm_h1", "_qm_h2", "_qm_salt"]).filter("_qm_id != _qm_stays")
     gone = gone.groupBy("_qm_id", "_qm_text_hash").agg(F.collect_set("_qm_at").alias("_qm_gone"))
     gone = gone.withColumnsRenamed({"_qm_id": "_qm_gone_id", "_qm_text_hash": "_qm_gone_hash"})
     both = docs.join(gone, (docs["doc_id"] == gone["_qm_gone_id"]) & (F.xxhash64(docs["text"]) == gone["_qm_gone_hash"]), "left")
