@@ -2,7 +2,7 @@
 
 A document's score is the sum over its words of log p(word | the `reach` words before and after it). The network adds the
 context words' vectors, each scaled by a vector of its position, and reads a word off a two-level softmax: its class, then
-its place in the class. Words outside the vocabulary share a few classes of hashed places.
+its place in the class. Words outside the vocabulary share the hashed places of the first class.
 
 Everything comes from all documents: the vocabulary from word counts over the whole corpus, the weights from `rounds` passes
 in which each partition trains on a regular share of its positions (masked there, as everywhere, by leaving the word out of
