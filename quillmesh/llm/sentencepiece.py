@@ -15,7 +15,8 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: What an uncovered character costs below the least score.
 UNKNOWN_PENALTY = 10.0
 _UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+_LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())
 _READY: dict[int, Pieces] = {}
 
 
@@ -124,53 +126,85 @@ class Vocabulary:
         self.by_unit = not any(re.search(f"[^{MARK}]{MARK}", p) for p, k in zip(self.pieces, self.kinds, strict=True) if k in (NORMAL, USER))
 
 
+class _Kept(dict):
+    """Units and their ids; all are dropped when there are too many.
+
+    Between two characters that stand side by side in no piece every segmentation has a boundary: a new unit is cut there
+    first, and its parts are looked up.
+    """
+
+    def __init__(self, viterbi: Callable[[str], list[int]], pairs: set[str], most: int):
+        super().__init__()
+        self.viterbi, self.most = viterbi, most
+        # of these boundaries, those between a letter and a sign, as most new units are known words with signs
+        signs = "".join(c for c in map(chr, range(128)) if not c.isalnum() and not any(x + c in pairs for x in _LETTERS))
+        self.cut = re.compile(f"(?<=[{_LETTERS}])(?=[{re.escape(signs)}])").split if signs else lambda unit: [unit]
+
+    def __missing__(self, unit: str) -> bytes:
+        parts = self.cut(unit)
+        if len(parts) > 1:
+            ids = b"".join([self[part] for part in parts])
+        else:
+            ids = array("i", self.viterbi(unit)).tobytes()
+        if len(unit) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[unit] = ids
+        return ids
+
+
 class Pieces:
     """Encodes and decodes with a vocabulary."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 150_000):
-        self.v, self.most, self.kept = vocabulary, most, {}
+    def __init__(self, vocabulary: Vocabulary, most: int = 300_000):
+        self.v = vocabulary
+        inside = (p for p, k in zip(vocabulary.pieces, vocabulary.kinds, strict=True) if k in (NORMAL, USER))
+        self.kept = _Kept(self.viterbi, {p[k : k + 2] for p in inside for k in range(len(p) - 1)}, most)
         self.base, self.check, self.value = (a.tolist() for a in vocabulary.trie)
+        self.gains = [len(p) * vocabulary.top - 0.1 if k == USER else g for p, g, k in zip(vocabulary.pieces, vocabulary.scores, vocabulary.kinds, strict=True)]
         # what each id decodes to
         self.said = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k in (CONTROL, UNKNOWN) else p.encode("utf-8") for p, k in zip(vocabulary.pieces, vocabulary.kinds, strict=True)]
 
     def viterbi(self, unit: str) -> list[int]:
         """The ids of the best segmentation."""
-        v, raw = self.v, unit.encode("utf-8")
-        base, check, value = self.base, self.check, self.value
+        raw = unit.encode("utf-8")
+        base, check, value, gains, unknown = self.base, self.check, self.value, self.gains, self.v.unknown
         size, none = len(raw), float("-inf")
-        score, back = [none] * (size + 1), [(0, 0)] * (size + 1)
+        score, start_of, piece_of = [none] * (size + 1), [0] * (size + 1), [-1] * (size + 1)
         score[0] = 0.0
-        for start in range(size):
-            if score[start] == none or raw[start] & 0xC0 == 0x80:
-                continue
+        start = 0
+        while start < size:
             here, lead = score[start], raw[start]
             width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-            state, at, single = 0, start, False
-            while at < size:
-                to = base[state] + raw[at]
-                if check[to] != state or not to:
-                    break
-                state, at = to, at + 1
-                piece = value[state]
-                if piece >= 0:
-                    if v.kinds[piece] == USER:
-                        gain = here + len(v.pieces[piece]) * v.top - 0.1
-                    else:
-                        gain = here + v.scores[piece]
-                    if gain > score[at]:
-                        score[at], back[at] = gain, (start, piece)
-                    single |= at - start == width
-            if not single and here + v.unknown > score[start + width]:
-                score[start + width], back[start + width] = here + v.unknown, (start, -1)
-        out, end = [], size
+            first = start + width
+            if here != none:
+                state, at, single = 0, start, False
+                while at < size:
+                    to = base[state] + raw[at]
+                    if check[to] != state or not to:
+                        break
+                    state = to
+                    at += 1
+                    piece = value[state]
+                    if piece >= 0:
+                        gain = here + gains[piece]
+                        if gain > score[at]:
+                            score[at], start_of[at], piece_of[at] = gain, start, piece
+                        if at == first:
+                            single = True
+                if not single and here + unknown > score[first]:
+                    score[first], start_of[first], piece_of[first] = here + unknown, start, -1
+            start = first
+        out, end, byte_ids = [], size, self.v.byte_ids
         while end:
-            start, piece = back[end]
+            start, piece = start_of[end], piece_of[end]
             if piece >= 0:
                 out.append(piece)
             else:
-                out.extend(v.unknown_id if v.byte_ids[b] is None else v.byte_ids[b] for b in reversed(raw[start:end]))
+                out.extend(self.v.unknown_id if byte_ids[b] is None else byte_ids[b] for b in reversed(raw[start:end]))
             end = start
-        return out[::-1]
+        out.reverse()
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
@@ -178,18 +212,7 @@ class Pieces:
         marked = MARK + text.replace(" ", MARK)
         if not self.v.by_unit:
             return np.array(self.viterbi(marked), "<i4")
-        out, kept = [], self.kept
-        for found in _UNITS.finditer(marked):
-            unit = found[0]
-            ids = kept.get(unit)
-            if ids is None:
-                ids = np.array(self.viterbi(unit), "<i4").tobytes()
-                if len(unit) <= 64:
-                    if len(kept) >= self.most:
-                        kept.clear()
-                    kept[unit] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), "<i4")
+        return np.frombuffer(b"".join(map(self.kept.__getitem__, _UNITS.findall(marked))), "<i4")
 
     def decode(self, ids: list[int]) -> str:
         """The text: bytes are joined, markers become spaces, the first marker goes."""
