@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import Sink, cuts, rows
-from quillmesh.llm.components import components
+from quillmesh.operators.graph import components
 from quillmesh.storage import materialize
 
 BITS = 64
@@ -259,7 +259,7 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 10, similarity: floa
 
     A component's document of the smallest doc_id stays; those of the same text, or whose shingle sets' Jaccard similarity to it is
     `similarity` or more, go. The others of the component are compared with the smallest of their own, `rounds` times in all, and
-    stay if none fits. Of rows that share a doc_id and a text one stays; rows with a null doc_id stay. Columns pass through.
+    stay if none fits. Rows that share a doc_id and a text stay or go together; rows with a null doc_id stay. Columns pass through.
     """
     named = docs.filter("doc_id is not null")
     groups = near_groups(named, words, radius).select(F.col("doc_id").alias("_qm_id"), F.col("component_id").alias("_qm_group"))
