@@ -1,6 +1,6 @@
 """The corpus pipeline: language ID, line dedup, SimHash near-dedup, best-fit packing, each over all that the one before kept.
 
-Every stage but the last returns the columns of documents. Copied rows of one doc_id and text count as one document.
+Every stage but the last returns the columns of documents. Rows that share a doc_id and a text stay or go together.
 """
 
 from __future__ import annotations
