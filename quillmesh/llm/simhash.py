@@ -195,13 +195,39 @@ def _linked(own: np.ndarray, probing: np.ndarray, radius: int, free: list[int],
             front = front[1:]
 
 
+class _Forest:
+    """Of links in a row those that join what was apart; nodes are forgotten, at the cost of needless links, beyond a number."""
+
+    def __init__(self, most: int = 1_000_000):
+        self.parent: dict[int, int] = {}
+        self.most = most
+
+    def _root(self, x: int) -> int:
+        parent, top = self.parent, x
+        while (up := parent.get(top, top)) != top:
+            top = up
+        while x != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    def joining(self, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        if len(self.parent) > self.most:
+            self.parent.clear()
+        keep = np.zeros(len(a), bool)
+        for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            x, y = self._root(x), self._root(y)
+            if x != y:
+                self.parent[x] = y
+                keep[i] = True
+        return pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], names=["a", "b"])
+
+
 def links(signatures: DataFrame, chosen: list[tuple[list[int], int]], radius: int, tasks: int) -> DataFrame:
     """(a, b) fingerprints that link, or a part of these pairs that joins the same ones: a few rows for each member of a bucket."""
     free = [[b for b in range(BITS) if b not in bits] for bits, _ in chosen]
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.int64),) * 4
+        held, forest = (np.zeros(0, np.int64),) * 4, _Forest()
         for batch in itertools.chain(batches, [None]):
             if batch is None:
                 key, part, probing, fp = held
@@ -218,11 +244,18 @@ def links(signatures: DataFrame, chosen: list[tuple[list[int], int]], radius: in
                 if n and e - s > 1:
                     x = fp[s:e].view(np.uint64)
                     found += _linked(x[:n], x[n:], radius, free[part[s]])
-            if found:
-                a, b = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+            if found and (out := forest.joining(*(np.concatenate(x).view(np.int64) for x in zip(*found, strict=True)))).num_rows:
+                yield out
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = _Forest()
+        for batch in batches:
+            if (out := forest.joining(*(c.to_numpy() for c in batch.columns))).num_rows:
+                yield out
 
-    return signatures.repartition(tasks, "key").sortWithinPartitions("key", "part", "probing").mapInArrow(run, "a long, b long")
+    # A dense group's members meet in many buckets, so each task and then each of fewer tasks keeps a forest of its links.
+    found = signatures.repartition(tasks, "key").sortWithinPartitions("key", "part", "probing").mapInArrow(run, "a long, b long")
+    return found.repartition(max(1, tasks // 16)).mapInArrow(thin, "a long, b long")
 
 
 def near_groups(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
