@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import Sink, cuts, rows
@@ -281,48 +281,96 @@ def hex_fingerprint(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def _jaccard(a: str | None, b: str | None, words: int) -> float:
-    x, y = (np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t or "", words)])) for t in (a, b))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+class _Kept:
+    """The shingle sets of kept documents, by shingle: exact similarities to all of them at once."""
 
+    def __init__(self, similarity: float):
+        self.similarity, self.by_shingle, self.sizes, self.empty = similarity, {}, [], False
+
+    def near(self, shingles: list[int]) -> bool:
+        """Whether one's Jaccard similarity is high enough; of two without a word it is 1."""
+        if not shingles:
+            return self.empty
+        owners = [o for o in map(self.by_shingle.get, shingles) if o is not None]
+        if len(owners) < self.similarity * len(shingles):
+            return False
+        both = np.bincount(np.fromiter(itertools.chain.from_iterable(owners), np.int64), minlength=len(self.sizes))
+        return bool((both / (len(shingles) + np.array(self.sizes) - both) >= self.similarity).any())
+
+    def add(self, shingles: list[int]) -> None:
+        self.empty |= not shingles
+        for s in shingles:
+            self.by_shingle.setdefault(s, []).append(len(self.sizes))
+        self.sizes.append(len(shingles))
+
+
+#: What becomes of a document in a round.
+_STAYS, _GOES, _OPEN = 0, 1, 2
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 10, similarity: float = 0.8, rounds: int = 3) -> DataFrame:
-    """docs without those that are near copies of a document that stays.
 
-    A component's document of the smallest doc_id stays; those of the same text, or whose shingle sets' Jaccard similarity to it is
-    `similarity` or more, go. The others of the component are compared with the smallest of their own, `rounds` times in all, and
-    stay if none fits. Rows that share a doc_id and a text stay or go together; rows with a null doc_id stay. Columns pass through.
+def _judged(left: DataFrame, words: int, similarity: float, most: int, most_chars: int) -> DataFrame:
+    """(_qm_id, _qm_hash, _qm_state) after a round over (_qm_id, _qm_hash, _qm_group, _qm_text).
+
+    A group of up to `most` documents is gone through in one task. A larger one is dealt out in chunks, and each chunk meets the
+    smallest documents of the group, at most `most` / 2; members that are near none of them are open.
     """
-    named = docs.filter("doc_id is not null")
-    groups = near_groups(named, words, radius).select(F.col("doc_id").alias("_qm_id"), F.col("component_id").alias("_qm_group"))
-    several = groups.groupBy("_qm_group").agg(F.count("*").alias("_qm_n")).filter("_qm_n > 1").select("_qm_group")
-    texts = named.select(F.col("doc_id").cast("long").alias("_qm_id"), F.col("text").cast("string").alias("_qm_text"))
-    left = materialize(texts.join(groups.join(several, "_qm_group").distinct(), "_qm_id").withColumn("_qm_hash", F.xxhash64("_qm_text")), "grouped")
-    schema = pa.schema([("_qm_id", pa.int64()), ("_qm_hash", pa.int64()), ("_qm_near", pa.bool_())])
+    size = F.length(F.coalesce("_qm_text", F.lit("")))
+    chunks = F.ceil(F.greatest(F.count("*") / most, F.sum(size) / most_chars)).cast("int")
+    large = left.groupBy("_qm_group").agg(chunks.alias("_qm_chunks")).filter("_qm_chunks > 1")
+    dealt = left.join(F.broadcast(large), "_qm_group", "left")  # at most one row for `most` documents
+    by = Window.partitionBy("_qm_group").orderBy("_qm_id", "_qm_hash")
+    ranked = dealt.filter("_qm_chunks > 1").select("_qm_id", "_qm_hash", "_qm_group", size.alias("_qm_size")).withColumn("_qm_rank", F.row_number().over(by)).filter(F.col("_qm_rank") <= max(1, most // 2))
+    before = F.sum("_qm_size").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    leaders = ranked.withColumn("_qm_before", before).filter(f"_qm_rank = 1 or _qm_before + _qm_size <= {most_chars}").select("_qm_id", "_qm_hash", F.lit(True).alias("_qm_leads"))
+    dealt = dealt.join(leaders, ["_qm_id", "_qm_hash"], "left").withColumn("_qm_leads", F.coalesce("_qm_leads", F.isnull("_qm_chunks")))
+    own = F.array(F.pmod("_qm_hash", F.coalesce("_qm_chunks", F.lit(1))).cast("int"))
+    everywhere = F.sequence(F.lit(0), F.coalesce("_qm_chunks", F.lit(1)) - 1)
+    dealt = dealt.select("_qm_id", "_qm_hash", "_qm_group", "_qm_text", "_qm_leads", F.explode(F.when(F.col("_qm_leads"), everywhere).otherwise(own)).alias("_qm_chunk"))
+    schema = pa.schema([("_qm_id", pa.int64()), ("_qm_hash", pa.int64()), ("_qm_state", pa.int32())])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sink = Sink(schema)
-        for doc_id, hashed, text, first in rows(batches, "_qm_id", "_qm_hash", "_qm_text", "_qm_first"):
-            if sink.add(doc_id, hashed, _jaccard(text, first, words) >= similarity):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sink, at, kept = Sink(schema), None, _Kept(similarity)
+        for doc_id, hashed, group, chunk, leads, text in rows(batches, "_qm_id", "_qm_hash", "_qm_group", "_qm_chunk", "_qm_leads", "_qm_text"):
+            if at != (group, chunk):
+                at, kept = (group, chunk), _Kept(similarity)
+            shingles = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text or "", words)])).tolist()
+            near = kept.near(shingles)
+            if leads and not near:
+                kept.add(shingles)
+            if (chunk == 0 or not leads) and sink.add(doc_id, hashed, _GOES if near else _STAYS if leads else _OPEN):
                 yield sink.batch()
         yield sink.batch()
 
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(tasks, "_qm_group", "_qm_chunk").sortWithinPartitions("_qm_group", "_qm_chunk", F.desc("_qm_leads"), "_qm_id", "_qm_hash")
+    return dealt.mapInArrow(run, "_qm_id long, _qm_hash long, _qm_state int")
+
+
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 10, similarity: float = 0.8, most: int = 512, most_chars: int = 4_000_000) -> DataFrame:
+    """docs without those that are near copies of a document that stays.
+
+    Of equal texts the one of the smallest doc_id stays. A component's texts are gone through by doc_id: one whose shingle set's Jaccard
+    similarity to one that stays is `similarity` or more goes, any other stays, in as many rounds as leave none open (a round
+    takes all of a component of up to `most` texts and `most_chars` characters). Rows that share a doc_id and a text stay or go
+    together; rows with a null doc_id stay. Columns pass through.
+    """
+    named = docs.filter("doc_id is not null")
+    texts = named.select(F.col("doc_id").cast("long").alias("_qm_id"), F.col("text").cast("string").alias("_qm_text")).withColumn("_qm_hash", F.xxhash64("_qm_text"))
+    firsts = materialize(texts.groupBy("_qm_hash").agg(F.min("_qm_id").alias("_qm_id")), "firsts")
+    groups = near_groups(texts.select(F.col("_qm_hash").alias("doc_id"), F.col("_qm_text").alias("text")), words, radius)
+    groups = groups.select(F.col("doc_id").alias("_qm_hash"), F.col("component_id").alias("_qm_group")).distinct()
+    several = groups.groupBy("_qm_group").agg(F.count("*").alias("_qm_n")).filter("_qm_n > 1").select("_qm_group")
+    members = groups.join(several, "_qm_group").join(firsts, "_qm_hash")
+    left = materialize(texts.join(members, ["_qm_id", "_qm_hash"]).dropDuplicates(["_qm_hash"]), "grouped")
     goes = None
-    for k in range(rounds):
-        first = left.groupBy("_qm_group").agg(F.min(F.struct("_qm_id", "_qm_hash")).alias("_qm_root"))
-        roots = left.join(first, "_qm_group").filter((F.col("_qm_id") == F.col("_qm_root._qm_id")) & (F.col("_qm_hash") == F.col("_qm_root._qm_hash")))
-        roots = roots.groupBy("_qm_group").agg(F.first("_qm_hash").alias("_qm_first_hash"), F.first("_qm_id").alias("_qm_first_id"), F.first("_qm_text").alias("_qm_first"))
-        both = left.join(roots, "_qm_group").filter("_qm_id != _qm_first_id or _qm_hash != _qm_first_hash")
-        same = both.filter("_qm_hash = _qm_first_hash").select("_qm_id", "_qm_hash")
-        # several documents of one text are compared once
-        other = both.filter("_qm_hash != _qm_first_hash")
-        judged = other.select("_qm_id", "_qm_hash", "_qm_text", "_qm_first").mapInArrow(verify, "_qm_id long, _qm_hash long, _qm_near boolean")
-        found = materialize(judged.unionByName(same.withColumn("_qm_near", F.lit(True))), f"near{k}")
-        near = found.filter("_qm_near").select("_qm_id", "_qm_hash")
+    while True:
+        found = materialize(_judged(left, words, similarity, most, most_chars), "judged")
+        near = found.filter(f"_qm_state = {_GOES}").select("_qm_id", "_qm_hash")
         goes = near if goes is None else goes.unionByName(near)
-        if k < rounds - 1:
-            rest = found.filter("not _qm_near").select("_qm_id", "_qm_hash").distinct()
-            left = materialize(left.join(rest, ["_qm_id", "_qm_hash"]), "left")
-    goes = goes.distinct().withColumnsRenamed({"_qm_id": "_qm_goes_id", "_qm_hash": "_qm_goes_hash"})
-    return docs.join(goes, (docs["doc_id"] == goes["_qm_goes_id"]) & (F.xxhash64(docs["text"]) == goes["_qm_goes_hash"]), "left_anti")
+        rest = found.filter(f"_qm_state = {_OPEN}").select("_qm_id", "_qm_hash")
+        if rest.isEmpty():
+            break
+        left = materialize(left.join(rest, ["_qm_id", "_qm_hash"]), "left")
+    stays = firsts.join(goes, ["_qm_id", "_qm_hash"], "left_anti").withColumnsRenamed({"_qm_id": "_qm_stays_id", "_qm_hash": "_qm_stays_hash"})
+    kept = docs.join(stays, (docs["doc_id"].cast("long") == stays["_qm_stays_id"]) & (F.xxhash64(docs["text"].cast("string")) == stays["_qm_stays_hash"]), "left_semi")
+    return kept.unionByName(docs.filter("doc_id is null"))

@@ -121,6 +121,19 @@ def test_keep_one(spark):
     assert sorted(str(r["doc_id"]) for r in out) == ["2", "4", "4", "5", "7", "None"]
 
 
+@pytest.mark.parametrize("most", [512, 6])
+def test_keep_one_leaves_none_uncompared(spark, monkeypatch, most):
+    """One component of twelve families of a text, an equal text and two near copies each, whatever fits in a task."""
+    monkeypatch.setattr(simhash, "near_groups", lambda docs, *a: docs.select("doc_id", F.lit(0).alias("component_id")))
+    rows = []
+    for k in range(12):
+        base = " ".join(f"f{k}w{j}" for j in range(200))
+        rows += [(k, base), (100 + k, base), (200 + k, base.replace(f"f{k}w90 ", "other ")), (300 + k, base + " end")]
+    random.Random(1).shuffle(rows)
+    out = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), most=most).collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(12))
+
+
 def test_minhash_estimates():
     m, rng = minhash.MinHash(), random.Random(3)
     errors, bias = [], []
