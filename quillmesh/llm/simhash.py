@@ -72,6 +72,39 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of hashes, others for each k (the finaliser of SplitMix64); the hashes themselves for 0."""
+    if k:
+        hashes = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        hashes = (hashes ^ hashes >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes = (hashes ^ hashes >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        hashes = hashes ^ hashes >> np.uint64(31)
+    return hashes
+
+
+def sketch(text: str, words: int, prints: int) -> np.ndarray:
+    """Independent fingerprints, of which the first is that of simhash()."""
+    total, count = 0, np.zeros(BITS * prints, np.int64)
+    for hashes in shingle_hashes(text, words):
+        for at in range(0, len(hashes), 255):
+            part = np.stack([_mixed(hashes[at : at + 255], k) for k in range(prints)], 1)
+            total += len(part)
+            count += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * count > total, bitorder="little").view(np.int64)
+
+
+def sketches(docs: DataFrame, words: int, prints: int) -> DataFrame:
+    """(doc_id, fps): fps are a text's fingerprints as signed longs. A null text has no word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketch(text or "", words, prints) for (text,) in rows([batch], "text")]
+            fps = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * prints), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fps"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fps array<long>")
+
+
 def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
     """The number of fingerprints and how many have bits i and j set, over all of them; 64 x 64 sums reach the driver."""
 
@@ -277,6 +310,30 @@ def near_groups(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     return found.join(final, "fp").select("doc_id", "fp", "component_id")
 
 
+def sketch_groups(docs: DataFrame, words: int, radius: int, prints: int) -> DataFrame:
+    """(doc_id, component_id): documents that links of `radius` bits or fewer in any of `prints` independent fingerprints join.
+
+    A component is named by one of its first fingerprints.
+    """
+    spark = docs.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = materialize(sketches(docs, words, prints), "sketches")
+    nodes = found.groupBy(F.col("fps")[0].alias("node"), "fps").count().select("node", F.posexplode("fps").alias("print", "fp"))
+    # of the texts that share a fingerprint one stands for all
+    classes = materialize(nodes.groupBy("print", "fp").agg(F.min("node").alias("first"), F.max("node").alias("last")), "classes")
+    edges = nodes.join(classes.filter("first != last"), ["print", "fp"]).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    for k in range(prints):
+        some = classes.filter(F.col("print") == k).select("fp", "first")
+        chosen = plan(*bit_counts(some), radius)
+        linked = links(probes(some, chosen), chosen, radius, tasks)
+        for end in ("a", "b"):
+            linked = linked.join(some.withColumnRenamed("fp", end), end).drop(end).withColumnRenamed("first", f"_{end}")
+        edges = edges.unionByName(materialize(linked.select(F.col("_a").alias("a"), F.col("_b").alias("b")), "links"))
+    reached = materialize(components(edges), "reached")
+    node = F.col("fps")[0]
+    return found.join(reached, node == reached["node"], "left").select("doc_id", F.coalesce("root", node).alias("component_id"))
+
+
 def hex_fingerprint(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
@@ -346,10 +403,11 @@ def _judged(left: DataFrame, words: int, similarity: float, most: int, most_char
     return dealt.mapInArrow(run, "_qm_id long, _qm_hash long, _qm_state int")
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 10, similarity: float = 0.8, most: int = 512, most_chars: int = 4_000_000) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 10, similarity: float = 0.8, prints: int = 5, most: int = 512, most_chars: int = 4_000_000) -> DataFrame:
     """docs without those that are near copies of a document that stays.
 
-    Of equal texts the one of the smallest doc_id stays. A component's texts are gone through by doc_id: one whose shingle set's Jaccard
+    Candidates are within `radius` bits in any of `prints` fingerprints: of pairs at 0.8 one fingerprint of 10 bits misses a third. Of
+    equal texts the one of the smallest doc_id stays. A component's texts are gone through by doc_id: one whose shingle set's Jaccard
     similarity to one that stays is `similarity` or more goes, any other stays, in as many rounds as leave none open (a round
     takes all of a component of up to `most` texts and `most_chars` characters). Rows that share a doc_id and a text stay or go
     together; rows with a null doc_id stay. Columns pass through.
@@ -357,7 +415,7 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 10, similarity: floa
     named = docs.filter("doc_id is not null")
     texts = named.select(F.col("doc_id").cast("long").alias("_qm_id"), F.col("text").cast("string").alias("_qm_text")).withColumn("_qm_hash", F.xxhash64("_qm_text"))
     firsts = materialize(texts.groupBy("_qm_hash").agg(F.min("_qm_id").alias("_qm_id")), "firsts")
-    groups = near_groups(texts.select(F.col("_qm_hash").alias("doc_id"), F.col("_qm_text").alias("text")), words, radius)
+    groups = sketch_groups(texts.select(F.col("_qm_hash").alias("doc_id"), F.col("_qm_text").alias("text")), words, radius, prints)
     groups = groups.select(F.col("doc_id").alias("_qm_hash"), F.col("component_id").alias("_qm_group")).distinct()
     several = groups.groupBy("_qm_group").agg(F.count("*").alias("_qm_n")).filter("_qm_n > 1").select("_qm_group")
     members = groups.join(several, "_qm_group").join(firsts, "_qm_hash")

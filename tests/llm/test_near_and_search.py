@@ -124,7 +124,7 @@ def test_keep_one(spark):
 @pytest.mark.parametrize("most", [512, 6])
 def test_keep_one_leaves_none_uncompared(spark, monkeypatch, most):
     """One component of twelve families of a text, an equal text and two near copies each, whatever fits in a task."""
-    monkeypatch.setattr(simhash, "near_groups", lambda docs, *a: docs.select("doc_id", F.lit(0).alias("component_id")))
+    monkeypatch.setattr(simhash, "sketch_groups", lambda docs, *a: docs.select("doc_id", F.lit(0).alias("component_id")))
     rows = []
     for k in range(12):
         base = " ".join(f"f{k}w{j}" for j in range(200))
@@ -134,6 +134,26 @@ def test_keep_one_leaves_none_uncompared(spark, monkeypatch, most):
     assert sorted(r["doc_id"] for r in out) == list(range(12))
 
 
+def test_keep_one_finds_pairs_at_the_bound(spark):
+    """Of pairs whose exact similarity is 0.80 to 0.83 nearly all lose one; strangers stay."""
+    rng, rows = random.Random(8), []
+    for k in range(300):
+        n = rng.choice([60, 300])
+        words = [f"{k}w{j}" for j in range(n)]
+        other = list(words)
+        while True:
+            j = rng.randrange(n)
+            changed = other[:j] + [f"{k}x{j}"] + other[j + 1 :]
+            a, b = set(shingles(" ".join(words), 5)), set(shingles(" ".join(changed), 5))
+            if len(a & b) / len(a | b) < 0.8:
+                break
+            other = changed
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    out = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out >= set(range(0, 600, 2)) and len(out) <= 300 + 0.03 * 300
+    assert [int(simhash.sketch(t, 4, 3).view(np.uint64)[0]) for t in ("", "one", "a b c d e " * 90)] == [simhash.simhash(t) for t in ("", "one", "a b c d e " * 90)]
+
+
 def test_minhash_estimates():
     m, rng = minhash.MinHash(), random.Random(3)
     errors, bias = [], []
