@@ -1,12 +1,11 @@
-"""Best-fit packing of token pieces into sequences of a fixed capacity, by hierarchical residual packing.
+"""Best-fit packing of token pieces into sequences of a fixed capacity, by residual packing.
 
 1. Each partition tokenizes its documents, cuts only those longer than a sequence, and packs its pieces best-fit in
    decreasing order. Nearly full sequences are final at once.
-2. Of the underfull ones each partition opens the emptiest again and sends up what is in them, at most `carry` items. A tree
-   with fan-in `fan_in` packs the items of its children best-fit anew, keeps what became nearly full and sends up the items of
-   its own emptiest bins, until one node is left. A node holds at most fan_in * carry items, whatever the input's size.
+2. All underfull ones are opened again. What is in them is counted by length, at most `capacity` counts over all partitions, and
+   these counts are packed best-fit in decreasing order as the items themselves would be, runs of equal bins at a time.
    (Merging underfull bins as unbreakable items needs 14 % more sequences than tokens where partitions are small.)
-3. Places in the tree are composed into (sequence, shift) and joined to the pieces.
+3. An item's number among those of its length, over the partitions in order, gives its sequence and offset.
 
 Only rows of numbers are shuffled, never text or ids. Defined results: a null text is an empty one, whose only id is the
 separator; a row with a null or repeated doc_id is a document of its own; no rows give no rows; other columns are ignored.
@@ -18,13 +17,12 @@ import json
 import re
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import Sink, cuts, rows
@@ -141,35 +139,69 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, np.array(fills, np.int64)
 
 
-def _going_up(bins: np.ndarray, fills: np.ndarray, capacity: int, slack: int, carry: int) -> np.ndarray:
-    """Which items go up: those of the emptiest bins with more than `slack` room, at most `carry` of them."""
-    counts = np.bincount(bins, minlength=len(fills))
-    under = np.flatnonzero(fills < capacity - slack)
-    under = under[np.argsort(fills[under], kind="stable")]
-    chosen = np.zeros(len(fills), bool)
-    chosen[under[np.cumsum(counts[under]) <= carry]] = True
-    return chosen[bins]
+def fit_counts(counts: dict[int, int], capacity: int) -> np.ndarray:
+    """Best-fit decreasing of counts[length] items of each length, by runs of bins that are filled alike.
 
-
-def pieces(docs: DataFrame, spec: str, capacity: int = 2048, separator: int = 0, slack: int = 2, carry: int = 2048, block: int = 500_000) -> DataFrame:
-    """Each document's pieces with their place in a local bin; those that go up the tree are bins of their own."""
+    Rows of (length, first, bin, offset, each): from a length's item `first` on, bins from `bin` on take `each` items from `offset` on.
+    """
+    out: list[tuple] = []
+    by_room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+    rooms = opened = 0
+
+    def leave(room: int, first: int, n: int) -> None:
+        nonlocal rooms
+        if n and room:
+            by_room[room].append((first, n))
+            rooms |= 1 << room
+
+    for size in sorted(counts, reverse=True):
+        at, left = 0, counts[size]
+        while left:
+            fit = rooms >> size
+            if fit:
+                room = size + (fit & -fit).bit_length() - 1
+                first, n = by_room[room].pop()
+                if not by_room[room]:
+                    rooms ^= 1 << room
+            else:
+                room, first, n = capacity, opened, -(-left // (capacity // size))
+                opened += n
+            # a bin stays the tightest until no other item of this length fits
+            each = room // size
+            for per, bins in ((each, min(n, left // each)), (left % each, 1)):
+                if per and bins and n and left >= per:
+                    out.append((size, at, first, capacity - room, per))
+                    leave(room - per * size, first, bins)
+                    at, left, first, n = at + per * bins, left - per * bins, first + bins, n - bins
+                if left >= each:
+                    break
+            leave(room, first, n)
+    return np.array(out, np.int64).reshape(-1, 5)
+
+
+def pieces(docs: DataFrame, spec: str, capacity: int = 2048, separator: int = 0, slack: int = 2, block: int = 500_000) -> DataFrame:
+    """Each document's pieces with their place in a local bin; of those from underfull bins, the partition and the number among its own of that length."""
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end = word_ids(shared), np.array([separator], "<u4").tobytes()
         schema = pa.schema([("doc_id", pa.int64()), *((n, t) for n, t in (("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())))])
-        first = TaskContext.get().partitionId() << _SHIFT
+        node = TaskContext.get().partitionId()
+        first, before = node << _SHIFT, np.zeros(capacity + 1, np.int64)
         sink = Sink(schema, block)
 
         def placed(first: int) -> tuple[list[pa.RecordBatch], int]:
             table = sink.batch()
             sizes = table.column("length").to_numpy()
             bins, at, fills = best_fit(sizes, capacity)
-            up = _going_up(bins, fills, capacity, slack, carry)
-            bins[up], at[up] = len(fills) + np.arange(up.sum()), 0
-            more = [pa.array(first + bins), pa.array(at), pa.array(up)]
+            up = (fills < capacity - slack)[bins]
+            order = np.flatnonzero(up)[np.argsort(sizes[up], kind="stable")]
+            n = np.bincount(sizes[order], minlength=capacity + 1)
+            at[order] = np.arange(len(order)) - np.repeat(np.cumsum(n) - n - before, n)
+            before[:] += n
+            more = [pa.array(np.where(up, node, first + bins)), pa.array(at), pa.array(up)]
             out = pa.RecordBatch.from_arrays([*table.columns, *more], names=[*schema.names, "bin", "at", "up"])
-            return [out.slice(k, 50_000) for k in range(0, out.num_rows, 50_000)], first + len(fills) + int(up.sum())
+            return [out.slice(k, 50_000) for k in range(0, out.num_rows, 50_000)], first + len(fills)
 
         for doc_id, text in rows(batches, "doc_id", "text"):
             raw, full = ids(text or "") + end, False
@@ -185,48 +217,30 @@ def pieces(docs: DataFrame, spec: str, capacity: int = 2048, separator: int = 0,
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack, _PIECES)
 
 
-def merge(items: DataFrame, capacity: int, slack: int, carry: int, fan_in: int) -> DataFrame | None:
-    """Tree-merge (bin, fill, node) rows. Gives (bin, root, shift) for each of them, or None if there are none."""
-
-    def node_fit_of(last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-        def node_fit(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values("bin", kind="stable")
-            name, fill = group["bin"].to_numpy(), group["fill"].to_numpy()
-            bins, shift, fills = best_fit(fill, capacity)
-            root = np.zeros(len(fills), np.int64)
-            root[bins[shift == 0]] = name[shift == 0]
-            up = np.zeros(len(name), bool) if last else _going_up(bins, fills, capacity, slack, carry)
-            return pd.DataFrame({"bin": name, "root": np.where(up, name, root[bins]), "shift": np.where(up, 0, shift), "fill": fill, "up": up, "node": group["node"].to_numpy()})
-
-        return node_fit
-
-    top = items.agg(F.max("node")).first()[0]
-    if top is None:
-        return None
-    places, steps = None, 1
-    while fan_in**steps <= top:
-        steps += 1
-    for step in range(steps):
-        if step:
-            items = done.filter("up").select("bin", "fill", "node")
-        items = items.withColumn("node", F.expr(f"node div {fan_in}"))
-        done = materialize(items.groupBy("node").applyInPandas(node_fit_of(step == steps - 1), "bin long, root long, shift long, fill long, up boolean, node long"), f"merge{step}")
-        placed = done.filter("not up").select("bin", "root", "shift")
-        places = placed if places is None else places.unionByName(placed)
-    return places
-
-
-def pack(docs: DataFrame, spec: str, capacity: int = 2048, separator: int = 0, slack: int = 2, carry: int = 2048, fan_in: int = 16) -> DataFrame:
+def pack(docs: DataFrame, spec: str, capacity: int = 2048, separator: int = 0, slack: int = 2, carry: int | None = None, fan_in: int | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: the place of every token of every document.
 
-    spec is the tokenizer's JSON; capacity the tokens of a sequence; separator the id after each document.
+    spec is the tokenizer's JSON; capacity the tokens of a sequence; separator the id after each document. carry and fan_in
+    bounded a tree of merges that is no more; they have no effect.
     """
-    local = materialize(pieces(docs, spec, capacity, separator, slack, carry), "pieces")
-    bins = local.filter("up").select("bin", F.col("length").alias("fill"), F.shiftright("bin", _SHIFT).alias("node"))
-    places = merge(bins, capacity, slack, carry, fan_in)
-    out = local.select("doc_id", "piece", "start", "length", "ids_crc32", "bin", "at")
-    if places is not None:
-        out = out.join(places, "bin", "left")
-    else:
-        out = out.withColumn("root", F.lit(None).cast("long")).withColumn("shift", F.lit(None).cast("long"))
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("root", "bin").alias("sequence_id"), (F.col("at") + F.coalesce("shift", F.lit(0))).alias("offset"))
+    local = materialize(pieces(docs, spec, capacity, separator, slack), "pieces")
+    plain = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    tally = materialize(local.filter("up").groupBy(F.col("bin").alias("node"), "length").agg(F.count("*").alias("n")), "tally")
+    totals = {r["length"]: r["n"] for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    places = docs.sparkSession.sparkContext.broadcast(fit_counts(totals, capacity))  # bounded by the capacity
+    by = Window.partitionBy("length").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = tally.select("node", F.col("length").alias("_length"), F.coalesce(F.sum("n").over(by), F.lit(0)).alias("before"))
+    rest = local.filter("up").join(numbered, (F.col("bin") == F.col("node")) & (F.col("length") == F.col("_length"))).select(*plain, (F.col("before") + F.col("at")).alias("number"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, first, bins, offset, each = places.value[np.lexsort((places.value[:, 1], places.value[:, 0]))].T
+        shift = 40
+        for batch in batches:
+            length, number = (batch.column(k).to_numpy().astype(np.int64) for k in (3, 5))
+            k = np.searchsorted((size << shift) + first, (length << shift) + number, side="right") - 1
+            number = number - first[k]
+            more = [pa.array((1 << 62) + bins[k] + number // each[k]), pa.array(offset[k] + number % each[k] * length)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *more], names=[*plain, "sequence_id", "offset"])
+
+    kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    return local.filter("not up").select(*plain, F.col("bin").alias("sequence_id"), F.col("at").alias("offset")).unionByName(rest.mapInArrow(place, kinds))

@@ -86,6 +86,34 @@ def test_packing_merges_over_a_tree(spark, carry, most):
     assert n <= most * whole
 
 
+def test_packing_sends_up_all_underfull_bins(spark):
+    """Partitions of one length each, with more items than a tree's nodes took (2048), pack as well as one partition would."""
+    long, short = "word " * 38, "word " * 24
+    rows = [(k, long if k < 3000 else short) for k in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(3, "doc_id")
+    out = packing.pack(df, queries.word_spec(), capacity=64, slack=0).collect()
+    n, _ = check_packing(out, rows, 64)
+    assert n == len(packing.best_fit(np.array([39] * 3000 + [25] * 6000), 64)[2]) == 4500
+
+
+def test_fit_counts():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        sizes, capacity = rng.integers(1, rng.integers(2, 33), rng.integers(0, 90)), 32
+        lengths, counts = np.unique(sizes, return_counts=True)
+        rows = packing.fit_counts(dict(zip(lengths.tolist(), counts.tolist(), strict=True)), capacity).tolist()
+        fills: dict = {}
+        for size, n in zip(lengths.tolist(), counts.tolist(), strict=True):
+            mine = sorted(r for r in rows if r[0] == size)
+            for r, end in zip(mine, [r[1] for r in mine[1:]] + [n], strict=True):
+                for k in range(end - r[1]):
+                    fills.setdefault(r[2] + k // r[4], []).append((r[3] + k % r[4] * size, size))
+        want = packing.best_fit(sizes, capacity)[2]
+        assert sorted(sum(s for _, s in x) for x in fills.values()) == sorted(want.tolist())
+        for x in fills.values():
+            assert [o for o, _ in sorted(x)] == [0, *np.cumsum([s for _, s in sorted(x)])[:-1].tolist()]
+
+
 def test_best_fit():
     rng = np.random.default_rng(3)
     for _ in range(30):
