@@ -200,14 +200,15 @@ class Judge:
 
 
 def fit(docs: DataFrame, most_docs: int = 400, most_chars: int = 20_000, most_langs: int = 200) -> Models | None:
-    """Models from a bounded sample of the labelled documents that aren't held out."""
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
+    """Models from a bounded sample of the labelled documents that aren't held out, of a long one its first `most_chars` characters."""
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    labelled = labelled.select("doc_id", "lang", F.substring("text", 1, most_chars).alias("text"))
     sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
     if not sizes:
         return None
     rate = F.create_map(*(x for lang, n in sizes for x in (F.lit(lang), F.lit(most_docs / n))))
     lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.filter((F.length("text") <= most_chars) & (lot < F.element_at(rate, F.col("lang")))).limit(2 * most_docs * len(sizes))
+    sample = labelled.filter(lot < F.element_at(rate, F.col("lang"))).limit(2 * most_docs * len(sizes))
     counts: dict[str, Counter] = {}
     aside: dict[str, list[Counter]] = {}
     for k, (_, lang, text) in enumerate(sorted(sample.collect())):

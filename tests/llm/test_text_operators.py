@@ -175,6 +175,14 @@ def test_language_id(spark):
     assert (out.held_out == [zlib.crc32(str(i).encode()) % 3 == 1 for i in out.doc_id]).all()
 
 
+def test_language_id_learns_from_long_documents(spark):
+    """A language whose labelled documents are all long is learned, from a part of each."""
+    few = {"aa": "lamo teri ", "bb": "zukk vorr "}
+    rows = [(k, "aa", few["aa"] * 20) for k in range(100)] + [(100 + k, "bb", few["bb"] * 2500) for k in range(100)] + [(200, "cc", None)]
+    models = langid.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert models.langs == ["aa", "bb"]
+
+
 def test_language_id_edges(spark, docs):
     models = langid.fit(queries.documents(spark, "/root/testdata/sf0.01"))
     got = {r["doc_id"]: r for r in langid.identify(docs, models).collect()}
