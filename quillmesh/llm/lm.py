@@ -214,8 +214,9 @@ def _round(docs: DataFrame, shared_words, start: np.ndarray, offset: int, step:
     return np.frombuffer(b"".join(w for _, w in found), np.float32)
 
 
-def train(docs: DataFrame, rounds: int = 2, step: int = 8, size: int = 4096, rate: float = 0.1) -> tuple[list[bytes], np.ndarray]:
-    """The vocabulary and the weights. Each round trains on every step-th position of all texts, from another offset."""
+def train(docs: DataFrame, rounds: int = 2, step: int = 2, size: int = 4096, rate: float = 0.1) -> tuple[list[bytes], np.ndarray]:
+    """The vocabulary and the weights. Each round trains on every step-th position of all texts, from another offset; with as
+    many rounds as steps each position is a target once."""
     # written, so that each task's most frequent words meet in a task and not in the driver
     top = materialize(word_counts(docs).orderBy(F.desc("n"), "word").limit((CLASSES - 1) * PLACES), "vocabulary")
     known = [bytes(w) for _, w in sorted((-r["n"], r["word"]) for r in top.collect())]

@@ -336,6 +336,13 @@ def test_lm_scoring(spark, docs):
     assert lm.train(empty(spark))[0] == []
 
 
+def test_training_covers_all_positions(spark, docs, monkeypatch):
+    asked = []
+    monkeypatch.setattr(lm, "_round", lambda docs, words, start, offset, step, *a: asked.append((offset, step)) or start)
+    lm.train(docs)
+    assert sorted(k for offset, step in asked for k in range(offset, 840, step)) == list(range(840))
+
+
 def test_word_counts(spark, docs):
     want: dict = {}
     for text in [t for (t,) in docs.select("text").collect()]:
