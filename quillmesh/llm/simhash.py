@@ -3,7 +3,7 @@
 A document's fingerprint has 64 bits by majority of its word shingles' hashes. Two fingerprints within `radius` bits agree,
 for any split of the bits into m parts and any thresholds t_i >= -1 with sum(t_i + 1) = radius + 1, up to t_i bits in
 some part i. plan() groups correlated bits into parts and allocates unequal thresholds by dynamic programming on estimated
-candidate counts; probes() emits the signatures of each distinct fingerprint; _link() verifies candidates bucket by bucket.
+candidate counts; probes() emits the signatures of each distinct fingerprint; links() verifies candidates bucket by bucket.
 
 A bucket gives a few links per member, never all its pairs: a dense one is searched as an implicit graph, which a
 fingerprint leaves once it is reached; a large one is split again on the bits that are left. Exact copies share one
@@ -13,6 +13,7 @@ fingerprint and enter once.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,21 +29,27 @@ from quillmesh.storage import materialize
 BITS = 64
 #: Relative costs of one signature shuffled and one candidate compared.
 SIGNATURE_COST, CANDIDATE_COST = 1.0, 0.005
+#: The parts of a fingerprint in use, each with its bits and threshold.
+Plan = list[tuple[list[int], int]]
 
 
-def shingle_hashes(text: str, words: int, seed: int = 42) -> Iterator[np.ndarray]:
-    """XXH64 of each shingle of `words` ASCII-lower-cased words, part by part for long texts."""
+def shingle_hashes(text: str, words: int, seed: int = 42, digest=None) -> Iterator[np.ndarray]:
+    """XXH64 of each shingle of `words` ASCII-lower-cased words, part by part for long texts.
+
+    A text of fewer words has one shingle, the whole sequence; one without words has none. digest, a running hash, is given the words.
+    """
     tail: list[bytes] = []
+    some = False
     for part in cuts(text.encode("utf-8").lower()):
-        tail += part.split()
+        new = part.split()
+        if digest is not None and new:
+            digest.update(b" ".join(new) + b" ")
+        tail += new
         if len(tail) >= words:
             shingles = map(b" ".join, zip(*(tail[k:] for k in range(words)), strict=False))
             yield np.fromiter(map(xxhash.xxh64_intdigest, shingles, itertools.repeat(seed)), np.uint64, len(tail) - words + 1)
-            tail, whole = tail[len(tail) - words + 1 :], False
-        else:
-            whole = True
-    if whole and tail:
-        # no shingle so far can only be if the text is short: the whole sequence counts as one
+            tail, some = tail[len(tail) - words + 1 :], True
+    if tail and not some:
         yield np.array([xxhash.xxh64_intdigest(b" ".join(tail), seed)], np.uint64)
 
 
@@ -82,10 +89,10 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return hashes
 
 
-def sketch(text: str, words: int, prints: int) -> np.ndarray:
+def sketch(text: str, words: int, prints: int, digest=None) -> np.ndarray:
     """Independent fingerprints, of which the first is that of simhash()."""
     total, count = 0, np.zeros(BITS * prints, np.int64)
-    for hashes in shingle_hashes(text, words):
+    for hashes in shingle_hashes(text, words, digest=digest):
         for at in range(0, len(hashes), 255):
             part = np.stack([_mixed(hashes[at : at + 255], k) for k in range(prints)], 1)
             total += len(part)
@@ -94,32 +101,43 @@ def sketch(text: str, words: int, prints: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int, prints: int) -> DataFrame:
-    """(doc_id, fps): fps are a text's fingerprints as signed longs. A null text has no word."""
+    """(_qm_id, _qm_hash, _qm_same, _qm_fps) of (_qm_id, _qm_hash, _qm_text): fps are a text's fingerprints as signed longs, same a hash of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch(text or "", words, prints) for (text,) in rows([batch], "text")]
-            fps = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * prints), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fps"])
+            found, same = [np.zeros(0, np.int64)], []
+            for (text,) in rows([batch], "_qm_text"):
+                digest = xxhash.xxh64(seed=7)
+                found.append(sketch(text or "", words, prints, digest))
+                same.append(_signed(digest.intdigest()))
+            fps = pa.ListArray.from_arrays(pa.array(np.arange(len(same) + 1, dtype=np.int32) * prints), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.int64()), fps], names=["_qm_id", "_qm_hash", "_qm_same", "_qm_fps"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fps array<long>")
+    return docs.select("_qm_id", "_qm_hash", "_qm_text").mapInArrow(run, "_qm_id long, _qm_hash long, _qm_same long, _qm_fps array<long>")
 
 
-def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
-    """The number of fingerprints and how many have bits i and j set, over all of them; 64 x 64 sums reach the driver."""
+def bit_counts(fps: DataFrame, prints: int = 1) -> list[tuple[int, np.ndarray]]:
+    """For each print the number of fingerprints and how many have bits i and j set, over all of them; 64 x 64 sums each reach the driver.
+
+    fps: its column fps is an array of `prints` fingerprints.
+    """
+    cells = BITS * BITS + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, both = 0, np.zeros((BITS, BITS))
+        total, both = 0, np.zeros((prints, BITS, BITS))
         for batch in batches:
-            x = np.unpackbits(batch.column(0).to_numpy().astype(np.int64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-            total, both = total + len(x), both + x.T @ x
-        cells = np.append(both.ravel(), total).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells))), pa.array(cells)], names=["cell", "n"])
-
-    found = np.zeros(BITS * BITS + 1, np.int64)
-    for cell, n in fps.select("fp").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, prints)
+            for k in range(prints):
+                bits = np.unpackbits(np.ascontiguousarray(x[:, k]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+                both[k] += bits.T @ bits
+            total += len(x)
+        sums = np.append(both.reshape(prints, -1), np.full((prints, 1), total), 1).astype(np.int64).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["cell", "n"])
+
+    found = np.zeros(cells * prints, np.int64)
+    for cell, n in fps.select("fps").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
         found[cell] = n
-    return int(found[-1]), found[:-1].reshape(BITS, BITS)
+    return [(int(x[-1]), x[:-1].reshape(BITS, BITS)) for x in found.reshape(prints, cells)]
 
 
 def _groups(total: int, both: np.ndarray, parts: int) -> list[list[int]]:
@@ -140,25 +158,35 @@ def _groups(total: int, both: np.ndarray, parts: int) -> list[list[int]]:
     return out
 
 
-def _agree(share: np.ndarray, most: int) -> np.ndarray:
-    """The chance that two fingerprints differ in at most 0..most of these bits, each bit for itself."""
-    dist = np.zeros(most + 1)
-    dist[0] = 1
-    for p in 2 * share * (1 - share):
-        dist = dist * (1 - p) + np.append(0, dist[:-1]) * p
-    return np.cumsum(dist)
+def _agree(total: int, both: np.ndarray, bits: list[int], most: int) -> np.ndarray:
+    """The chance that two fingerprints differ in at most 0..most of these bits.
 
-
-def plan(total: int, both: np.ndarray, radius: int, most_parts: int = 8) -> list[tuple[list[int], int]]:
+    The mean and the variance of the number of differing bits follow from the counts of pairs of bits, so that correlated bits
+    count as such; a beta-binomial distribution has the same two.
+    """
+    n = len(bits)
+    one_and_one = both[np.ix_(bits, bits)] / max(total, 1)
+    one = one_and_one.diagonal()
+    none = 1 - one[:, None] - one[None, :] + one_and_one
+    differ = 2 * (one_and_one * none + (one[:, None] - one_and_one) * (one[None, :] - one_and_one))
+    mean = float(np.clip(differ.trace(), 1e-6, n - 1e-6))
+    q = mean / n
+    bond = (max(float(differ.sum()) - mean * mean, 0) / (n * q * (1 - q)) - 1) / max(n - 1, 1)
+    a, b = (s * (1 / min(max(bond, 1e-6), 0.99) - 1) for s in (q, 1 - q))
+    log_beta = lambda x, y: math.lgamma(x) + math.lgamma(y) - math.lgamma(x + y)
+    return np.minimum(np.cumsum([math.comb(n, k) * math.exp(log_beta(k + a, n - k + b) - log_beta(a, b)) for k in range(most + 1)]), 1)
+
+
+def plan(total: int, both: np.ndarray, radius: int, most_parts: int = 8) -> Plan:
     """(bits, threshold) of each part in use, of the least estimated cost."""
-    share, best = both.diagonal() / max(total, 1), (float("inf"), [])
+    best: tuple[float, list] = (float("inf"), [])
     for parts in range(1, min(most_parts, radius + 1) + 1):
         groups = _groups(total, both, parts)
         table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for bits in groups:
-            near, cost, flips = _agree(share[bits], min(radius, len(bits))), [0.0], 0.0
+            near, cost, flips = _agree(total, both, bits, min(radius, len(bits))), [0.0], 0.0
             for t, chance in enumerate(near.tolist()):
-                flips += 1 if t == 0 else len(list(itertools.combinations(range(len(bits)), t))) / 2 if t < 4 else float("inf")
+                flips += 1 if t == 0 else math.comb(len(bits), t) / 2 if t < 4 else float("inf")
                 cost.append(total * flips * SIGNATURE_COST + total * total / 2 * chance * CANDIDATE_COST)
             step: dict[int, tuple[float, list[int]]] = {}
             for used, (spent, ts) in table.items():
@@ -175,57 +203,76 @@ def _signed(x: int) -> int:
     return x - (x >> 63 << 64)
 
 
-def probes(fps: DataFrame, chosen: list[tuple[list[int], int]]) -> DataFrame:
-    """(key, part, fp): each fingerprint's own signature in each part and those up to its threshold away.
+def probes(nodes: DataFrame, plans: dict[int, Plan]) -> DataFrame:
+    """(key, part, probing, x[, y][, node]): each fingerprint's own signature in each part and those up to its threshold away.
 
-    Of the two ways between two signatures only the one to the larger value is gone.
-    """
-    flips = []
-    for part, (bits, threshold) in enumerate(chosen):
-        mask = sum(1 << b for b in bits)
-        for t in range(threshold + 1):
-            for some in itertools.combinations(bits, t):
-                flip = sum(1 << b for b in some)
-                flips.append(F.struct(F.lit(part).alias("part"), F.lit(_signed(mask)).cast("long").alias("mask"), F.lit(_signed(flip)).cast("long").alias("flip"), F.lit(_signed(1 << max(some, default=0))).cast("long").alias("top")))
-    out = fps.select("fp", F.inline(F.array(*flips)))
-    out = out.filter((F.col("flip") == 0) | (F.col("fp").bitwiseAND(F.col("top")) == 0))
-    return out.select(F.xxhash64("part", F.col("fp").bitwiseAND(F.col("mask")).bitwiseXOR(F.col("flip"))).alias("key"), "part", (F.col("flip") != 0).cast("int").alias("probing"), "fp")
-
-
-def _linked(own: np.ndarray, probing: np.ndarray, radius: int, free: list[int], cells: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links that join every own fingerprint and every other one within the radius, directly or over others.
-
-    At most four links a member come out: where there are more, the group is searched as a graph, and a member leaves the
-    search once it is reached.
+    nodes: fps, an array of fingerprints, and perhaps node; plans: a plan for each place in the array that is searched; parts are
+    numbered through. x is the fingerprint; where there are several, y is the first one, or the second for the first. Of the two
+    ways between two signatures only the one to the larger value is gone.
     """
-    everyone = np.concatenate([own, probing])
-    if len(own) * len(everyone) <= cells:
-        near = np.bitwise_count(own[:, None] ^ everyone[None, :]) <= radius
-        a, b = np.nonzero(np.triu(near, 1))
-        if len(a) <= 4 * len(everyone):
-            if len(a):
-                yield own[a], everyone[b]
+    flips, number = [], itertools.count()
+    for k, chosen in plans.items():
+        for bits, threshold in chosen:
+            part, mask = next(number), sum(1 << b for b in bits)
+            for t in range(threshold + 1):
+                for some in itertools.combinations(bits, t):
+                    flip = sum(1 << b for b in some)
+                    flips.append(F.struct(F.lit(part).alias("part"), F.lit(k).alias("k"), F.lit(_signed(mask)).cast("long").alias("mask"), F.lit(_signed(flip)).cast("long").alias("flip"), F.lit(_signed(1 << max(some, default=0))).cast("long").alias("top")))
+    out = nodes.select("*", F.inline(F.array(*flips))).withColumn("x", F.get("fps", F.col("k")))
+    out = out.filter((F.col("flip") == 0) | (F.col("x").bitwiseAND(F.col("top")) == 0)).withColumn("y", F.get("fps", (F.col("k") == 0).cast("int")))
+    key = F.xxhash64("part", F.col("x").bitwiseAND(F.col("mask")).bitwiseXOR(F.col("flip")))
+    return out.select(key.alias("key"), "part", (F.col("flip") != 0).cast("int").alias("probing"), "x", "y", *(c for c in ("node",) if c in nodes.columns))
+
+
+class _Bucket:
+    """Finds links among fingerprints x that are within the radius and, where there is a y, whose y are within `far`."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray | None, radius: int, far: int, cells: int = 1 << 21):
+        self.x, self.y, self.radius, self.far, self.cells = x, y, radius, far, cells
+
+    def _close(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.y[a] ^ self.y[b]) <= self.far
+
+    def linked(self, own: np.ndarray, probing: np.ndarray, free: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Links, as row numbers, that join every own row and every other one near it, directly or over others.
+
+        At most four links a member come out: where there are more, the group is searched as a graph, and a member leaves the
+        search once it is reached.
+        """
+        everyone, x = np.concatenate([own, probing]), self.x
+        if len(own) * len(everyone) <= self.cells:
+            near = np.bitwise_count(x[own][:, None] ^ x[everyone][None, :]) <= self.radius
+            a, b = np.nonzero(near)
+            a, b = a[b > a], b[b > a]
+            if self.y is not None and len(a):
+                keep = self._close(own[a], everyone[b])
+                a, b = a[keep], b[keep]
+            if len(a) <= 4 * len(everyone):
+                if len(a):
+                    yield own[a], everyone[b]
+                return
+        elif len(free) >= 4 * (self.radius + 1):
+            # exact again on the bits not yet used: radius + 1 parts, of which one agrees
+            for k in range(self.radius + 1):
+                bits = free[k :: self.radius + 1]
+                masked = x[everyone] & np.uint64(sum(1 << b for b in bits))
+                order = np.argsort(masked, kind="stable")
+                for some in np.split(order, np.flatnonzero(np.diff(masked[order])) + 1):
+                    mine = some < len(own)
+                    if len(some) > 1 and mine.any():
+                        yield from self.linked(everyone[some[mine]], everyone[some[~mine]], [b for b in free if b not in bits])
             return
-    elif len(free) >= 4 * (radius + 1):
-        # exact again on the bits not yet used: radius + 1 parts, of which one agrees
-        for k in range(radius + 1):
-            bits = free[k :: radius + 1]
-            mask = np.uint64(sum(1 << b for b in bits))
-            order = np.argsort(everyone & mask, kind="stable")
-            for some in np.split(order, np.flatnonzero(np.diff((everyone & mask)[order])) + 1):
-                mine = some < len(own)
-                if len(some) > 1 and mine.any():
-                    yield from _linked(everyone[some[mine]], everyone[some[~mine]], radius, [b for b in free if b not in bits], cells)
-        return
-    left = everyone
-    while len(left):
-        front, left = left[:1], left[1:]
-        while len(front) and len(left):
-            near = np.bitwise_count(left ^ front[0]) <= radius
-            if near.any():
-                yield np.repeat(front[:1], near.sum()), left[near]
-                front, left = np.concatenate([front, left[near]]), left[~near]
-            front = front[1:]
+        left = everyone
+        while len(left):
+            front, left = left[:1], left[1:]
+            while len(front) and len(left):
+                near = np.bitwise_count(x[left] ^ x[front[0]]) <= self.radius
+                if self.y is not None and near.any():
+                    near[near] = self._close(left[near], front[:1])
+                if near.any():
+                    yield np.repeat(front[:1], near.sum()), left[near]
+                    front, left = np.concatenate([front, left[near]]), left[~near]
+                front = front[1:]
 
 
 class _Forest:
@@ -255,30 +302,41 @@ class _Forest:
         return pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], names=["a", "b"])
 
 
-def links(signatures: DataFrame, chosen: list[tuple[list[int], int]], radius: int, tasks: int) -> DataFrame:
-    """(a, b) fingerprints that link, or a part of these pairs that joins the same ones: a few rows for each member of a bucket."""
-    free = [[b for b in range(BITS) if b not in bits] for bits, _ in chosen]
+def links(signatures: DataFrame, plans: dict[int, Plan], radius: int, tasks: int, far: int | None = None) -> DataFrame:
+    """(a, b) nodes that link, or a part of these pairs that joins the same ones. Without a name a node is its fingerprint x.
+
+    far: y has to be within it too. Each task keeps a forest of its links, and so does each of fewer tasks over what is then written:
+    a dense group's members meet in many buckets. Rows are sorted by all their columns, so a task that is run again keeps the same links.
+    """
+    free = [[b for b in range(BITS) if b not in bits] for chosen in plans.values() for bits, _ in chosen]
+    columns = [c for c in ("key", "part", "probing", "x", "y", "node") if c in signatures.columns and (c != "y" or far is not None)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, forest = (np.zeros(0, np.int64),) * 4, _Forest()
+        held, forest = [np.zeros(0, np.int64)] * len(columns), _Forest()
         for batch in itertools.chain(batches, [None]):
             if batch is None:
-                key, part, probing, fp = held
-                ends = np.append(np.flatnonzero(np.diff(key)) + 1, len(key))
+                now = held
+                ends = np.append(np.flatnonzero(np.diff(now[0])) + 1, len(now[0]))
             else:
-                key, part, probing, fp = (np.concatenate([h, batch.column(k).to_numpy().astype(np.int64)]) for k, h in enumerate(held))
-                ends = np.flatnonzero(np.diff(key)) + 1
+                now = [np.concatenate([h, batch.column(k).to_numpy().astype(np.int64)]) for k, h in enumerate(held)]
+                ends = np.flatnonzero(np.diff(now[0])) + 1
                 last = ends[-1] if len(ends) else 0
-                held = key[last:], part[last:], probing[last:], fp[last:]
-            starts = np.append(0, ends[:-1]) if len(ends) else ends
-            owns = np.append(0, np.cumsum(probing == 0))
+                held = [c[last:] for c in now]
+            if not len(ends) or not ends[-1]:
+                continue
+            at = dict(zip(columns, now, strict=True))
+            part, probing, node = at["part"], at["probing"], at.get("node", at["x"])
+            bucket = _Bucket(at["x"].view(np.uint64), at["y"].view(np.uint64) if far is not None else None, radius, far or 0)
+            starts, owns = np.append(0, ends[:-1]), np.append(0, np.cumsum(probing == 0))
+            own = owns[ends] - owns[starts]
+            some = (own > 0) & (ends - starts > 1)
             found = []
-            for s, e, n in zip(starts.tolist(), ends.tolist(), (owns[ends] - owns[starts]).tolist(), strict=True):
-                if n and e - s > 1:
-                    x = fp[s:e].view(np.uint64)
-                    found += _linked(x[:n], x[n:], radius, free[part[s]])
-            if found and (out := forest.joining(*(np.concatenate(x).view(np.int64) for x in zip(*found, strict=True)))).num_rows:
-                yield out
+            for s, e, n in zip(starts[some].tolist(), ends[some].tolist(), own[some].tolist(), strict=True):
+                found += bucket.linked(np.arange(s, s + n), np.arange(s + n, e), free[part[s]])
+            if found:
+                out = forest.joining(*(node[np.concatenate(end)] for end in zip(*found, strict=True)))
+                if out.num_rows:
+                    yield out
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = _Forest()
@@ -286,54 +344,45 @@ def links(signatures: DataFrame, chosen: list[tuple[list[int], int]], radius: in
             if (out := forest.joining(*(c.to_numpy() for c in batch.columns))).num_rows:
                 yield out
 
-    # A dense group's members meet in many buckets, so each task and then each of fewer tasks keeps a forest of its links.
-    found = signatures.repartition(tasks, "key").sortWithinPartitions("key", "part", "probing").mapInArrow(run, "a long, b long")
-    return found.repartition(max(1, tasks // 16)).mapInArrow(thin, "a long, b long")
+    found = signatures.select(*columns).repartition(tasks, "key").sortWithinPartitions(*columns).mapInArrow(run, "a long, b long")
+    return materialize(found, "links").coalesce(max(4, tasks // 8)).mapInArrow(thin, "a long, b long")
+
+
+def _reached(nodes: DataFrame, prints: int, radius: int, far: int | None = None) -> DataFrame:
+    """(node, root) of the nodes that link with others. nodes: distinct rows of fps, an array of fingerprints; a node is named by the first.
+
+    The first fingerprint is searched first. In the search of the others a component found so far is one node: a dense group
+    comes out of the first one's buckets only.
+    """
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plans = {k: plan(total, both, radius) for k, (total, both) in enumerate(bit_counts(nodes, prints))}
+    one, more = {0: plans.pop(0)}, plans
+    reached = materialize(components(links(probes(nodes, one), one, radius, tasks, far)), "reached")
+    if not more:
+        return reached
+    named = nodes.join(reached, F.get("fps", 0) == F.col("node"), "left").select("fps", F.coalesce("root", F.get("fps", 0)).alias("node"))
+    joined = components(links(probes(named, more), more, radius, tasks, far)).select(F.col("node").alias("part"), F.col("root").alias("whole"))
+    joined = materialize(joined, "joined")
+    out = reached.join(joined, reached["root"] == joined["part"], "left").select("node", F.coalesce("whole", "root").alias("root"))
+    # and those that the first fingerprint joined with none
+    return materialize(out.unionByName(joined.join(reached, joined["part"] == reached["node"], "left_anti").select(F.col("part").alias("node"), F.col("whole").alias("root"))), "reached")
 
 
 def near_groups(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id that links of `radius` bits or fewer reach.
 
     Defined results: a null text has fingerprint zero, linked like any other; rows may share a doc_id; a null doc_id
-    never is a component's name unless all its doc_ids are null; other columns are ignored.
+    never is a component's name unless all its doc_ids are null; no rows give no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
     found = materialize(fingerprints(docs, words), "fingerprints")
     classes = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    total, both = bit_counts(classes)
-    chosen = plan(total, both, radius)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    reached = materialize(components(links(probes(classes, chosen), chosen, radius, tasks)), "reached")
+    reached = _reached(classes.select(F.array("fp").alias("fps")), prints=1, radius=radius)
     named = reached.join(classes, reached["node"] == classes["fp"]).groupBy("root").agg(F.min("first").alias("name"))
     renamed = reached.join(named, "root").select(F.col("node").alias("fp"), "name")
     final = classes.join(renamed, "fp", "left").select("fp", F.coalesce("name", "first").alias("component_id"))
     return found.join(final, "fp").select("doc_id", "fp", "component_id")
 
 
-def sketch_groups(docs: DataFrame, words: int, radius: int, prints: int) -> DataFrame:
-    """(doc_id, component_id): documents that links of `radius` bits or fewer in any of `prints` independent fingerprints join.
-
-    A component is named by one of its first fingerprints.
-    """
-    spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = materialize(sketches(docs, words, prints), "sketches")
-    nodes = found.groupBy(F.col("fps")[0].alias("node"), "fps").count().select("node", F.posexplode("fps").alias("print", "fp"))
-    # of the texts that share a fingerprint one stands for all
-    classes = materialize(nodes.groupBy("print", "fp").agg(F.min("node").alias("first"), F.max("node").alias("last")), "classes")
-    edges = nodes.join(classes.filter("first != last"), ["print", "fp"]).select(F.col("node").alias("a"), F.col("first").alias("b"))
-    for k in range(prints):
-        some = classes.filter(F.col("print") == k).select("fp", "first")
-        chosen = plan(*bit_counts(some), radius)
-        linked = links(probes(some, chosen), chosen, radius, tasks)
-        for end in ("a", "b"):
-            linked = linked.join(some.withColumnRenamed("fp", end), end).drop(end).withColumnRenamed("first", f"_{end}")
-        edges = edges.unionByName(materialize(linked.select(F.col("_a").alias("a"), F.col("_b").alias("b")), "links"))
-    reached = materialize(components(edges), "reached")
-    node = F.col("fps")[0]
-    return found.join(reached, node == reached["node"], "left").select("doc_id", F.coalesce("root", node).alias("component_id"))
-
-
 def hex_fingerprint(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
@@ -374,7 +423,7 @@ def _judged(left: DataFrame, words: int, similarity: float, most: int, most_char
     size = F.length(F.coalesce("_qm_text", F.lit("")))
     chunks = F.ceil(F.greatest(F.count("*") / most, F.sum(size) / most_chars)).cast("int")
     large = left.groupBy("_qm_group").agg(chunks.alias("_qm_chunks")).filter("_qm_chunks > 1")
-    dealt = left.join(F.broadcast(large), "_qm_group", "left")  # at most one row for `most` documents
+    dealt = left.join(large, "_qm_group", "left")  # a row for a large group: broadcast only while Spark finds it small
     by = Window.partitionBy("_qm_group").orderBy("_qm_id", "_qm_hash")
     ranked = dealt.filter("_qm_chunks > 1").select("_qm_id", "_qm_hash", "_qm_group", size.alias("_qm_size")).withColumn("_qm_rank", F.row_number().over(by)).filter(F.col("_qm_rank") <= max(1, most // 2))
     before = F.sum("_qm_size").over(by.rowsBetween(Window.unboundedPreceding, -1))
@@ -403,32 +452,39 @@ def _judged(left: DataFrame, words: int, similarity: float, most: int, most_char
     return dealt.mapInArrow(run, "_qm_id long, _qm_hash long, _qm_state int")
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 10, similarity: float = 0.8, prints: int = 5, most: int = 512, most_chars: int = 4_000_000) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 10, far: int = 20, similarity: float = 0.8, prints: int = 5, most: int = 1536, most_chars: int = 4_000_000) -> DataFrame:
     """docs without those that are near copies of a document that stays.
 
-    Candidates are within `radius` bits in any of `prints` fingerprints: of pairs at 0.8 one fingerprint of 10 bits misses a third. Of
-    equal texts the one of the smallest doc_id stays. A component's texts are gone through by doc_id: one whose shingle set's Jaccard
-    similarity to one that stays is `similarity` or more goes, any other stays, in as many rounds as leave none open (a round
-    takes all of a component of up to `most` texts and `most_chars` characters). Rows that share a doc_id and a text stay or go
-    together; rows with a null doc_id stay. Columns pass through.
+    Candidates are within `radius` bits in any of `prints` fingerprints and within `far` in another: of pairs at 0.8 one fingerprint of
+    10 bits misses a third, and unrelated texts that are near in one by chance are not in two, so components don't grow with the corpus.
+    Of texts of the same words the one of the smallest doc_id stays. A component's texts are gone through by doc_id: one whose shingle
+    set's Jaccard similarity to one that stays is `similarity` or more goes, any other stays, in as many rounds as leave none open (a
+    round takes all of a component of up to `most` texts and `most_chars` characters).
+
+    Defined results: rows that share a doc_id and a text stay or go together; rows with a null doc_id stay; a null text is one without
+    words; no rows give no rows. Other columns pass through; names that begin with _qm_ are taken.
     """
     named = docs.filter("doc_id is not null")
     texts = named.select(F.col("doc_id").cast("long").alias("_qm_id"), F.col("text").cast("string").alias("_qm_text")).withColumn("_qm_hash", F.xxhash64("_qm_text"))
-    firsts = materialize(texts.groupBy("_qm_hash").agg(F.min("_qm_id").alias("_qm_id")), "firsts")
-    groups = sketch_groups(texts.select(F.col("_qm_hash").alias("doc_id"), F.col("_qm_text").alias("text")), words, radius, prints)
-    groups = groups.select(F.col("doc_id").alias("_qm_hash"), F.col("component_id").alias("_qm_group")).distinct()
-    several = groups.groupBy("_qm_group").agg(F.count("*").alias("_qm_n")).filter("_qm_n > 1").select("_qm_group")
-    members = groups.join(several, "_qm_group").join(firsts, "_qm_hash")
-    left = materialize(texts.join(members, ["_qm_id", "_qm_hash"]).dropDuplicates(["_qm_hash"]), "grouped")
+    found = materialize(sketches(texts, words, prints), "sketches")
+    firsts = found.groupBy("_qm_same", "_qm_fps").agg(F.min(F.struct("_qm_id", "_qm_hash")).alias("_qm_first"))
+    firsts = materialize(firsts.select("_qm_first.*", F.get("_qm_fps", 0).alias("_qm_node"), "_qm_fps"), "firsts")
+    reached = _reached(firsts.select(F.col("_qm_fps").alias("fps")).distinct(), prints, radius, far)
+    # several texts may be one node; the others with company are those that were reached
+    shared = firsts.groupBy("_qm_node").agg(F.count("*").alias("_qm_n")).filter("_qm_n > 1").select("_qm_node", F.col("_qm_node").alias("_qm_group"))
+    roots = reached.select(F.col("node").alias("_qm_node"), F.col("root").alias("_qm_group"))
+    roots = roots.unionByName(shared.join(roots.select("_qm_node"), "_qm_node", "left_anti"))
+    members = firsts.select("_qm_id", "_qm_hash", "_qm_node").join(roots, "_qm_node").select("_qm_id", "_qm_hash", "_qm_group")
+    left = materialize(texts.join(members, ["_qm_id", "_qm_hash"]).dropDuplicates(["_qm_id", "_qm_hash"]), "grouped")
     goes = None
     while True:
-        found = materialize(_judged(left, words, similarity, most, most_chars), "judged")
-        near = found.filter(f"_qm_state = {_GOES}").select("_qm_id", "_qm_hash")
+        judged = materialize(_judged(left, words, similarity, most, most_chars), "judged")
+        near = judged.filter(f"_qm_state = {_GOES}").select("_qm_id", "_qm_hash")
         goes = near if goes is None else goes.unionByName(near)
-        rest = found.filter(f"_qm_state = {_OPEN}").select("_qm_id", "_qm_hash")
+        rest = judged.filter(f"_qm_state = {_OPEN}").select("_qm_id", "_qm_hash")
         if rest.isEmpty():
             break
         left = materialize(left.join(rest, ["_qm_id", "_qm_hash"]), "left")
-    stays = firsts.join(goes, ["_qm_id", "_qm_hash"], "left_anti").withColumnsRenamed({"_qm_id": "_qm_stays_id", "_qm_hash": "_qm_stays_hash"})
+    stays = firsts.join(goes, ["_qm_id", "_qm_hash"], "left_anti").select(F.col("_qm_id").alias("_qm_stays_id"), F.col("_qm_hash").alias("_qm_stays_hash"))
     kept = docs.join(stays, (docs["doc_id"].cast("long") == stays["_qm_stays_id"]) & (F.xxhash64(docs["text"].cast("string")) == stays["_qm_stays_hash"]), "left_semi")
     return kept.unionByName(docs.filter("doc_id is null"))
