@@ -2,12 +2,14 @@
 
 A document's score is the sum over its words of log p(word | the `reach` words before and after it). The network adds the
 context words' vectors, each scaled by a vector of its position, and reads a word off a two-level softmax: its class, then
-its place in the class. Words outside the vocabulary share the hashed places of the first class.
+its place in the class. The most frequent words are predicted one by one. All others share the places of the first class, and
+within a place a word's share is that of its count over the whole corpus: log p(place | context) + log p(word | place). The
+counts are kept by hashed buckets, whose number grows with the corpus up to `most_buckets`; beyond that words share buckets evenly.
 
-Everything comes from all documents: the vocabulary from word counts over the whole corpus, the weights from `rounds` passes
-in which each partition trains on a regular share of its positions (masked there, as everywhere, by leaving the word out of
-its own context) and the partitions' weights are averaged by the words they saw, along a tree of bounded fan-in. What is
-gathered grows with the input; the model does not.
+Everything comes from all documents: counts of all words, and the weights from a pass in which each partition trains on
+every position of its documents (masked there, as everywhere, by leaving the word out of its own context) and the partitions'
+weights are averaged by the words they saw, along a tree of bounded fan-in. What is gathered grows with the input.
+Partitions train one by one, so another split of the same rows gives slightly other weights and scores.
 
 Defined results: a null or empty text has no word and a score of 0 (its mean is null); rows are scored each for itself,
 whatever their doc_id; with no word at all every score is 0; other columns are ignored.
@@ -16,9 +18,11 @@ whatever their doc_id; with no word at all every score is 0; other columns are i
 from __future__ import annotations
 
 import itertools
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -54,19 +58,52 @@ def word_counts(docs: DataFrame, most: int = 300_000) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+@dataclass
+class Model:
+    """What scoring needs: the words predicted one by one, the other words' log shares of their places by bucket, the weights."""
+
+    known: list[bytes]
+    rare: np.ndarray
+    weights: np.ndarray
+
+
+class _Numbers(dict):
+    """Numbers of words; those that aren't known have the vocabulary's size and their bucket."""
+
+    buckets = 1
+
+    def __missing__(self, word: bytes) -> int:
+        return CLASSES * PLACES + zlib.crc32(word) % self.buckets
+
+
 class Words:
-    """Word numbers: the most frequent have their own, the rest a hashed place in the first class."""
+    """Word numbers: the most frequent have their own, the rest share the places of the first class by their buckets."""
 
-    def __init__(self, known: list[bytes]):
-        self.number = {w: k + PLACES for k, w in enumerate(known)}
+    def __init__(self, known: list[bytes], rare: np.ndarray):
+        self.number = _Numbers((w, k + PLACES) for k, w in enumerate(known))
+        self.number.buckets, self.rare = len(rare), rare
 
-    def of(self, text: str) -> Iterator[np.ndarray]:
+    def raw(self, text: str) -> Iterator[np.ndarray]:
         """Numbers of a text's ASCII-lower-cased words, part by part."""
-        get = self.number.get
         for part in cuts(text.encode("utf-8").lower()):
-            words = part.split()
-            if words:
-                yield np.fromiter((get(w) or 1 + zlib.crc32(w) % (PLACES - 1) for w in words), np.int32, len(words))
+            if words := part.split():
+                yield np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
+
+    @staticmethod
+    def placed(numbers: np.ndarray) -> np.ndarray:
+        """Numbers within the vocabulary's size."""
+        bucket = numbers - CLASSES * PLACES
+        return np.where(bucket < 0, numbers, 1 + bucket % (PLACES - 1))
+
+    def of(self, text: str) -> Iterator[np.ndarray]:
+        return map(self.placed, self.raw(text))
+
+    def scored(self, text: str, extra: list[float]) -> Iterator[np.ndarray]:
+        """Like of(); the log shares of the rare words go to extra, part by part."""
+        for numbers in self.raw(text):
+            bucket = numbers[numbers >= CLASSES * PLACES] - CLASSES * PLACES
+            extra.append(float(self.rare[bucket].sum(dtype=np.float64)))
+            yield self.placed(numbers)
 
 
 class Network:
@@ -185,7 +222,7 @@ def _round(docs: DataFrame, shared_words, start: np.ndarray, offset: int, step:
     cut = np.linspace(0, len(start), _BLOCKS + 1).astype(int).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, net = Words(shared_words.value), Network(shared.value.copy())
+        words, net = Words(shared_words.value[0], np.zeros(shared_words.value[1], np.float32)), Network(shared.value.copy())
         memory, seen = Network(np.zeros_like(net.flat)), 0
         for targets, context in _batches(batches, words, size, offset, step):
             net.learn(targets, context, memory, rate)
@@ -214,26 +251,79 @@ def _round(docs: DataFrame, shared_words, start: np.ndarray, offset: int, step:
     return np.frombuffer(b"".join(w for _, w in found), np.float32)
 
 
-def train(docs: DataFrame, rounds: int = 2, step: int = 2, size: int = 4096, rate: float = 0.1) -> tuple[list[bytes], np.ndarray]:
-    """The vocabulary and the weights. Each round trains on every step-th position of all texts, from another offset; with as
-    many rounds as steps each position is a target once."""
-    # written, so that each task's most frequent words meet in a task and not in the driver
-    top = materialize(word_counts(docs).orderBy(F.desc("n"), "word").limit((CLASSES - 1) * PLACES), "vocabulary")
-    known = [bytes(w) for _, w in sorted((-r["n"], r["word"]) for r in top.collect())]
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-    weights = Network().flat
+def _vocabulary(counts: DataFrame, most: int, step: float = 1.02) -> list[tuple[bytes, int]]:
+    """The `most` most frequent words, ties to the smaller. Whole ranges of counts are taken without sorting; only the last is sorted."""
+    range_of = F.floor(F.log("n") / math.log(step)).cast("int").alias("range")
+    sizes = sorted(((r["range"], r["count"]) for r in counts.groupBy(range_of).count().collect()), reverse=True)  # a row for each factor of 1.02
+    total, least = 0, None
+    for at, size in sizes:
+        if total + size > most:
+            break
+        total, least = total + size, at
+    some = counts.withColumn("range", range_of)
+    found = some.filter(F.col("range") >= least).select("word", "n").collect() if least is not None else []
+    if total < most and len(sizes) and (least is None or least > sizes[-1][0]):
+        last = next(at for at, _ in sizes if least is None or at < least)
+        found += some.filter(F.col("range") == last).orderBy(F.desc("n"), "word").limit(most - total).select("word", "n").collect()
+    return [(w, -n) for n, w in sorted((-n, bytes(w)) for w, n in found)]
+
+
+def _rare(counts: DataFrame, known: list[bytes], most_buckets: int, block: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """log p(word | place) of each bucket's words, and how often each place occurs; 32-bit numbers of all buckets reach the driver, in blocks."""
+    spark = counts.sparkSession
+    words = spark.createDataFrame([(bytearray(w),) for w in known], "word binary")  # the vocabulary's size
+    rest = counts.join(F.broadcast(words), "word", "left_anti")
+    n_words = rest.count()
+    buckets = min(1 << max(n_words - 1, 1).bit_length(), most_buckets)
+    sums = rest.groupBy((F.crc32("word") % buckets).cast("int").alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("words"))
+    schema = pa.schema([("block", pa.int32()), ("n", pa.binary()), ("words", pa.binary())])
+
+    def run(group: pa.Table) -> pa.Table:
+        at = group["bucket"].to_numpy()
+        n, words = np.zeros(block, np.float32), np.zeros(block, np.float32)
+        n[at % block], words[at % block] = group["n"].to_numpy(), group["words"].to_numpy()
+        return pa.table([[int(at[0]) // block], [n.tobytes()], [words.tobytes()]], schema=schema)
+
+    n, words = np.zeros(-(-buckets // block) * block, np.float32), np.zeros(-(-buckets // block) * block, np.float32)
+    for at, some, kinds in sums.groupBy(F.expr(f"bucket div {block}").alias("_block")).applyInArrow(run, "block int, n binary, words binary").collect():
+        n[at * block : (at + 1) * block], words[at * block : (at + 1) * block] = np.frombuffer(some, np.float32), np.frombuffer(kinds, np.float32)
+    n, words = n[:buckets] + 0.5, np.maximum(words[:buckets], 1)  # a bucket that no word of the corpus has: half an occurrence
+    place = np.arange(buckets) % (PLACES - 1)
+    sums = np.bincount(place, n, PLACES - 1)
+    return np.log(n / sums[place] / words).astype(np.float32), sums
+
+
+def unigram(counts: np.ndarray, network: Network) -> Network:
+    """The network with biases that alone give each of the vocabulary's numbers the share of its count."""
+    counts = np.maximum(counts.reshape(CLASSES, PLACES), 0.01)
+    whole = counts.sum(1)
+    network.part["klass_bias"][:] = np.log(whole / whole.sum())
+    network.part["place_bias"][:] = np.log(counts / whole[:, None])
+    return network
+
+
+def train(docs: DataFrame, rounds: int = 1, step: int = 1, size: int = 8192, rate: float = 0.1, most_buckets: int = 1 << 22) -> Model:
+    """The vocabulary, the other words' shares and the weights. Training starts from the words' shares alone; each round is over every step-th position of all texts, from another offset."""
+    counts = materialize(word_counts(docs), "word_counts")
+    found = _vocabulary(counts, (CLASSES - 1) * PLACES)
+    known = [w for w, _ in found]
+    rare, places = _rare(counts, known, most_buckets)
+    often = np.zeros(CLASSES * PLACES)
+    often[1:PLACES], often[PLACES : PLACES + len(found)] = places, [n for _, n in found]
+    shared = docs.sparkSession.sparkContext.broadcast((known, len(rare)))
+    weights = unigram(often, Network()).flat
     for k in range(rounds):
         weights = _round(docs, shared, weights, k * step // rounds, step, size, rate)
-    return known, weights
+    return Model(known, rare, weights)
 
 
-def score(docs: DataFrame, model: tuple[list[bytes], np.ndarray]) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_words, log_likelihood, mean_log_likelihood of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_likelihood", pa.float64()), ("mean_log_likelihood", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, net = Words(shared.value[0]), Network(shared.value[1])
+        words, net = Words(shared.value.known, shared.value.rare), Network(shared.value.weights)
         sink = Sink(schema)
         held: list[tuple] = []
         n = 0
@@ -242,24 +332,26 @@ def score(docs: DataFrame, model: tuple[list[bytes], np.ndarray]) -> DataFrame:
             """Score the windows of several texts together."""
             nonlocal held, n
             if n:
-                logs = net.log_probs(np.concatenate([t for _, ts, _ in held for t in ts]), np.concatenate([c for _, _, cs in held for c in cs]))
+                logs = net.log_probs(np.concatenate([t for _, ts, _, _ in held for t in ts]), np.concatenate([c for _, _, cs, _ in held for c in cs]))
             at = 0
-            for doc_id, ts, _ in held:
+            for doc_id, ts, _, extra in held:
                 size = sum(map(len, ts))
-                total = float(logs[at : at + size].sum(dtype=np.float64)) if size else 0.0
+                total = float(logs[at : at + size].sum(dtype=np.float64)) + extra if size else 0.0
                 at += size
                 sink.add(doc_id, size, total, total / size if size else None)
             held, n = [], 0
 
         for doc_id, text in rows(batches, "doc_id", "text"):
             if text and len(text) > 1 << 20:  # long texts pass through window by window
-                size, total = 0, 0.0
-                for t, c in windows(words.of(text)):
+                size, total, extra = 0, 0.0, []
+                for t, c in windows(words.scored(text, extra)):
                     size, total = size + len(t), total + float(net.log_probs(t, c).sum(dtype=np.float64))
+                total += sum(extra)
                 sink.add(doc_id, size, total, total / size if size else None)
                 continue
-            found = list(windows(words.of(text or "")))
-            held.append((doc_id, [t for t, _ in found], [c for _, c in found]))
+            extra = []
+            found = list(windows(words.scored(text or "", extra)))
+            held.append((doc_id, [t for t, _ in found], [c for _, c in found], sum(extra)))
             n += sum(len(t) for t, _ in found)
             if n >= 1 << 15 or len(held) >= 4096:
                 flush()

@@ -323,17 +323,48 @@ def test_gradient():
 
 def test_lm_scoring(spark, docs):
     sf = queries.documents(spark, "/root/testdata/sf0.01").select("doc_id", "text")
-    known, weights = lm.train(sf)
-    out = lm.score(sf, (known, weights)).toPandas()
-    plain = lm.score(sf, (known, lm.Network().flat)).toPandas()
-    assert out.log_likelihood.sum() > 0.8 * plain.log_likelihood.sum() and len(out) == 1000
-    got = {r["doc_id"]: r for r in lm.score(docs, (known, weights)).collect()}
+    model = lm.train(sf.filter("doc_id % 5 != 0"))
+    held = sf.filter("doc_id % 5 = 0")
+    # a model of the words' shares alone: no context reaches it
+    plain = lm.Network(model.weights.copy())
+    counts = np.zeros(lm.CLASSES * lm.PLACES)
+    words = lm.Words(model.known, model.rare)
+    for r in sf.filter("doc_id % 5 != 0").collect():
+        for ids in words.of(r["text"] or ""):
+            counts += np.bincount(ids, minlength=len(counts))
+    lm.unigram(counts, plain).part["embed"][:] = 0
+    plain.part["bias"][:] = 0
+    mean = lambda m: (lambda f: f.log_likelihood.sum() / f.n_words.sum())(lm.score(held, m).toPandas())
+    ours, theirs = mean(model), mean(lm.Model(model.known, model.rare, plain.flat))
+    assert ours > theirs + 0.05, (ours, theirs)
+    got = {r["doc_id"]: r for r in lm.score(docs, model).collect()}
     assert got[0]["n_words"] == 0 and got[0]["log_likelihood"] == 0 and got[0]["mean_log_likelihood"] is None and got[7]["n_words"] == len(LONG.split())
-    net, words = lm.Network(weights), lm.Words(known)
-    ids = np.concatenate(list(words.of(TEXTS[3])))
-    assert got[3]["log_likelihood"] == pytest.approx(sum(float(net.log_probs(t, c).sum()) for t, c in lm.windows(iter([ids]))), abs=1e-3)
-    assert lm.score(empty(spark), (known, weights)).count() == 0
-    assert lm.train(empty(spark))[0] == []
+    net, rare = lm.Network(model.weights), []
+    ids = np.concatenate(list(words.scored(TEXTS[3], rare)))
+    assert got[3]["log_likelihood"] == pytest.approx(sum(rare) + sum(float(net.log_probs(t, c).sum()) for t, c in lm.windows(iter([ids]))), abs=1e-3)
+    assert lm.score(empty(spark), model).count() == 0
+    assert lm.train(empty(spark)).known == []
+
+
+def test_rare_words_share_their_place_by_count(spark):
+    """Over all words of a place the shares add up to one, and a word's is that of its count, however few buckets there are."""
+    rows = [(f"w{k}", 1 + k % 7) for k in range(500)]
+    counts = spark.createDataFrame([(w.encode(), n) for w, n in rows], "word binary, n long")
+    known = lm._vocabulary(counts, 40)
+    assert known == [(w.encode(), n) for n, w in sorted(((n, w) for w, n in rows), key=lambda x: (-x[0], x[1]))[:40]]
+    left = {w.encode(): n for w, n in rows if w.encode() not in dict(known)}
+    for most in (1 << 22, 64):
+        rare, places = lm._rare(counts, [w for w, _ in known], most)
+        words = lm.Words([w for w, _ in known], rare)
+        number = {w: words.number[w] - lm.CLASSES * lm.PLACES for w in left}
+        for place in range(63):
+            mine = [w for w in left if number[w] % 63 == place]
+            filled = {number[w] for w in mine}
+            spare = sum(np.exp(rare[b]) for b in range(len(rare)) if b % 63 == place and b not in filled)
+            assert sum(np.exp(rare[number[w]]) for w in mine) + spare == pytest.approx(1, abs=1e-5)
+        some = sorted(left)[7]
+        mates = [w for w in left if number[w] == number[some]]
+        assert np.exp(rare[number[some]]) == pytest.approx((sum(left[w] for w in mates) + 0.5) / len(mates) / places[number[some] % 63], rel=1e-5)
 
 
 def test_training_covers_all_positions(spark, docs, monkeypatch):
