@@ -50,19 +50,24 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 
 
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """host and bad of every page: a page's path ends with the doc_id of the document it shows, which labels may cover."""
+    """host and bad of every page: a page's path ends with the doc_id of the document it shows, which labels may cover.
+
+    Pages that show none have no outcome and don't meet the labels: they would all meet in one task.
+    """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("doc_id is not null")
     bad = labels.groupBy("doc_id").agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"))
     shown = F.regexp_extract(urls.path_of(F.col("url")), "/([0-9]{1,18})(?:[./]|$)", 1)
     shows = pages.select(urls.host_of(F.col("url")).alias("host"), shown.try_cast("bigint").alias("doc_id"))
-    return shows.join(bad, "doc_id", "left").select("host", (F.col("bad") == 1).alias("bad"))
+    seen = shows.filter("doc_id is not null").join(bad, "doc_id", "left").select("host", (F.col("bad") == 1).alias("bad"))
+    return seen.unionByName(shows.filter("doc_id is null").select("host", F.lit(None).cast("boolean").alias("bad")))
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Besides the contract's columns: how many outcomes the host has, and its posterior mean and bound of bad pages."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    out = urls.judge(pages, page_outcomes(spark, sf_dir), RULES, limit=0.5, z=1.645)
-    return out.select("page_id", *(F.col(f"_qm_{c}").alias(c) for c in ("host", "path", "rule", "verdict")))
+    out = urls.judge(pages, page_outcomes(spark, sf_dir), RULES)
+    return out.select("page_id", *(F.col(f"_qm_{c}").alias(c) for c in ("host", "path", "rule", "verdict")), F.col("_qm_n").alias("host_n"), F.round("_qm_mean", 6).alias("host_mean"), F.round("_qm_bound", 6).alias("host_bound"))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,9 +105,9 @@ _LEVEL = """
                sum(bad::double * bad / n) as spread from {0} where n > 0"""
 _STRENGTH = """
         select share, case when spread - bad::double * bad / n - share * (1 - share) * (groups - 1) <= 0 or share * (1 - share) <= 0
-                             or n - squares / n - (groups - 1) <= 0 or n is null then 1000.0
+                             or n - squares / n - (groups - 1) <= 0 or n is null then 50.0
                       else least(greatest(share * (1 - share) * (n - squares / n - (groups - 1))
-                           / (spread - bad::double * bad / n - share * (1 - share) * (groups - 1)) - 1, 2.0), 1000.0) end as m from {0}"""
+                           / (spread - bad::double * bad / n - share * (1 - share) * (groups - 1)) - 1, 2.0), 50.0) end as m from {0}"""
 ORACLES = {
     "op5_url_filters": f"""
         with rests as (
@@ -114,9 +119,15 @@ ORACLES = {
         seen as (
             select p.host, o.bad from parsed p
             left join outcomes o on o.doc_id = try_cast(regexp_extract(p.path, '/([0-9]{{1,18}})(?:[./]|$)', 1) as bigint)),
+        sums as (
+            select host, regexp_replace(host, '^.*@|:[0-9]*$|[.]$', '', 'g') as name, count(bad) as n, coalesce(sum(bad), 0)::bigint as bad from seen group by host),
+        labels_of as (
+            select *, string_split(name, '.') as parts, regexp_matches(name, '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$') as numbers from sums),
+        two as (
+            select *, len(parts) >= 2 and list_contains({urls.TWO_LABEL_SUFFIXES}, array_to_string(parts[-2:], '.')) as two from labels_of),
         hosts as (
-            select host, array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 1, 1), len(string_split(host, '.'))), '.') as domain,
-                   string_split(host, '.')[-1] as suffix, count(bad) as n, coalesce(sum(bad), 0)::bigint as bad from seen group by host),
+            select host, n, bad, case when numbers then name when two then array_to_string(parts[-3:], '.') else array_to_string(parts[-2:], '.') end as domain,
+                   case when numbers then '' when two then array_to_string(parts[-2:], '.') else parts[-1] end as suffix from two),
         domains as (select domain, suffix, sum(n)::bigint as n, sum(bad)::bigint as bad from hosts group by all),
         suffixes as (select suffix, sum(n)::bigint as n, sum(bad)::bigint as bad from domains group by all),
         level_s as ({_LEVEL.format("suffixes")}), level_d as ({_LEVEL.format("domains")}), level_h as ({_LEVEL.format("hosts")}),
@@ -124,7 +135,7 @@ ORACLES = {
         mean_s as (select suffix, (bad + coalesce((select share from prior_s), 0) * (select m from prior_s)) / (n + (select m from prior_s)) as mean from suffixes),
         mean_d as (select domain, (bad + s.mean * (select m from prior_d)) / (n + (select m from prior_d)) as mean from domains join mean_s s using (suffix)),
         mean_h as (select host, n, (bad + d.mean * (select m from prior_h)) / (n + (select m from prior_h)) as mean from hosts join mean_d d using (domain)),
-        blocked as (select host from mean_h where mean - 1.645 * sqrt(mean * (1 - mean) / (n + (select m from prior_h) + 1)) > 0.5),
+        judged as (select *, mean - 0.674 * sqrt(mean * (1 - mean) / (n + (select m from prior_h) + 1)) as bound from mean_h),
         ruled as (
             select *, case when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
                            when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
@@ -132,7 +143,9 @@ ORACLES = {
                            when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule from parsed)
         select page_id, host, path, rule,
                case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
-                    when host in (select host from blocked) then 'block' else 'allow' end as verdict from ruled""",
+                    when j.bound > coalesce((select share from prior_s), 0) then 'block' else 'allow' end as verdict,
+               j.n as host_n, round(j.mean, 6) as host_mean, round(j.bound, 6) as host_bound
+        from ruled left join judged j using (host)""",
     "op8_top_k": """
         with ok as (
             select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings

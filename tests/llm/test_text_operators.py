@@ -210,11 +210,36 @@ def test_rules(spark):
 
 def test_reputation(spark):
     rows = [("bad.example.com", True)] * 60 + [("good.example.com", False)] * 60 + [("few.other.com", True)] * 2 + [("none.example.com", None)] + [("mixed.third.com", k % 4 == 0) for k in range(200)] + [("", None)]
-    got = {r["host"]: r for r in urls.reputations(spark.createDataFrame(rows, "host string, bad boolean")).collect()}
+    df = spark.createDataFrame(rows, "host string, bad boolean")
+    got = {r["host"]: r for r in urls.reputations(df, limit=0.5, z=1.645).collect()}
     assert [h for h, r in got.items() if r["blocked"]] == ["bad.example.com"] and len(got) == 6
     assert 0 < got["none.example.com"]["mean"] < 1 and got["few.other.com"]["mean"] < 1
+    # by default the limit is the share over all
+    share = 112 / 322
+    got = urls.reputations(df).collect()
+    assert all(r["blocked"] == (r["bound"] > share) and r["bound"] <= r["mean"] for r in got)
     nothing = urls.reputations(spark.createDataFrame([("a", None)], "host string, bad boolean")).collect()
     assert [r["blocked"] for r in nothing] == [False]
+    assert urls.reputations(df.limit(0)).count() == 0
+
+
+def test_domains(spark):
+    cases = {"a.b.co.uk": ("b.co.uk", "co.uk"), "x.example.com:8080": ("example.com", "com"), "10.0.0.1": ("10.0.0.1", ""), "10.0.0.1:80": ("10.0.0.1", ""), "me@www.site.org.": ("site.org", "org"), "localhost": ("localhost", "localhost"), "co.uk": ("co.uk", "co.uk"), "": ("", "")}
+    got = urls.named(spark.createDataFrame([(h,) for h in cases], "host string")).collect()
+    assert {r["host"]: (r["domain"], r["suffix"]) for r in got} == cases
+
+
+def test_judge_blocks_by_reputation(spark):
+    """Without the model no page of the bad host would go; rules come first; null ids and urls and empty tables are fine."""
+    rows = [(k, f"http://bad.example.com/p/{k}") for k in range(40)] + [(100 + k, f"http://good.example.com/p/{k}") for k in range(40)] + [(200, "http://x.net/"), (None, None), (201, "none"), (202, "http://bad.example.com/de/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("n", F.lit(1))
+    outcomes = spark.createDataFrame([("bad.example.com", True)] * 20 + [("good.example.com", False)] * 20 + [("", None), ("x.net", None)], "host string, bad boolean")
+    got = urls.judge(pages, outcomes, queries.RULES).collect()
+    assert len(got) == len(rows) and {r["host"] for r in got} == {"clash"}
+    blocked = {r["page_id"] for r in got if r["_qm_verdict"] == "block"}
+    assert blocked == {*range(40), 200, 202}
+    assert urls.judge(pages.limit(0), outcomes, queries.RULES).count() == 0
+    assert {r["_qm_verdict"] for r in urls.judge(pages, outcomes.limit(0), queries.RULES).collect() if r["page_id"] not in (200, 202)} == {"allow"}
 
 
 def brute(vocabulary, unit):
