@@ -1,5 +1,9 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie of pieces with log scores.
 
+A unigram model's file has log scores. One of merges has ranks, whose sums say nothing; a piece's log score is then that of its
+rank's share by the law of Zipf and Mandelbrot, log(1 / (rank + 2.7)) less the log of all shares' sum: a rule, as tokenizers aren't
+trained. Text is taken as it is: neither normalised nor freed of repeated spaces.
+
 White space is the marker U+2581; a marker also goes before the text. Where no piece covers a character it falls back to the
 pieces of its bytes. No piece of the usual vocabularies has a marker after another character, so the best segmentation of a
 text is that of its units (markers and what follows them up to the next marker) one after the other; units are encoded
@@ -28,6 +32,10 @@ from quillmesh.llm.common import rows
 MARK = "▁"
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+#: The kind of model whose scores are log probabilities.
+UNIGRAM = 1
+#: The shift of ranks in the law of Zipf and Mandelbrot.
+SHIFT = 2.7
 #: What an uncovered character costs below the least score.
 UNKNOWN_PENALTY = 10.0
 _UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -70,6 +78,18 @@ def read_pieces(model: bytes) -> list[tuple[str, float, int]]:
     return out
 
 
+def scored_pieces(model: bytes) -> list[tuple[str, float, int]]:
+    """(piece, log score, kind) by id: the file's scores of a unigram model, else scores by rank. Scores have 32 bits, as in a file."""
+    pieces = read_pieces(model)
+    trainer = next((dict(_fields(value)) for field, value in _fields(model) if field == 2), {})
+    if trainer.get(3, UNIGRAM) == UNIGRAM:
+        return pieces
+    usual = sorted((i for i, (_, _, kind) in enumerate(pieces) if kind == NORMAL), key=lambda i: (-pieces[i][1], i))
+    share = 1 / (np.arange(len(usual)) + SHIFT)
+    score = dict(zip(usual, np.log(share / share.sum()).astype(np.float32).tolist(), strict=True))
+    return [(piece, score.get(i, had), kind) for i, (piece, had, kind) in enumerate(pieces)]
+
+
 def double_array(keys: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """base, check and value of a trie: state s goes over byte b to base[s] + b if check of that is s; value is -1 or an id."""
     tree: dict = {}
@@ -234,7 +254,7 @@ def encode(docs: DataFrame, model: bytes, decoded: bool = False) -> DataFrame:
 
     decoded: also n_chars, n_ids, and whole: the ids decode to the very text.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(read_pieces(model)))
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(scored_pieces(model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(shared)
@@ -255,7 +275,7 @@ def encode(docs: DataFrame, model: bytes, decoded: bool = False) -> DataFrame:
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     """doc_id, ids, text: null ids give a null text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(read_pieces(model)))
+    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(scored_pieces(model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(shared)

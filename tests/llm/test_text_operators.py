@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -257,8 +258,9 @@ def brute(vocabulary, unit):
 
 def test_viterbi():
     with open(queries.tokenizer_file("piece_bpe_32k.model"), "rb") as f:
-        vocabulary = sentencepiece.Vocabulary(sentencepiece.read_pieces(f.read()))
+        vocabulary = sentencepiece.Vocabulary(sentencepiece.scored_pieces(f.read()))
     coder = sentencepiece.Pieces(vocabulary)
+    assert [vocabulary.pieces[i] for i in coder.encode("The internationalization")] == ["▁The", "▁international", "ization"]
     for unit in ("▁the", "▁thinnd", "▁éauxvi", "▁漢x", "▁▁▁a", "▁\n\t", "▁Straßenbahn"):
         ids = coder.viterbi(unit)
         score, at = 0.0, 0
@@ -271,6 +273,45 @@ def test_viterbi():
     assert not small.by_unit and sentencepiece.Pieces(small).encode("a a").tolist() == [2, 3]
 
 
+def unigram_model(model):
+    """The model file as one of a unigram model with our log scores, for the library that such files are made for."""
+
+    def number(n):
+        out = bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    def field(k, value):
+        return number(k << 3) + number(value) if isinstance(value, int) else number(k << 3 | 5) + value if len(value) == 4 and k in (2, 10) else number(k << 3 | 2) + number(len(value)) + value
+
+    out = b"".join(field(1, field(1, piece.encode()) + field(2, struct.pack("<f", score)) + field(3, kind)) for piece, score, kind in sentencepiece.scored_pieces(model))
+    # a unigram model with byte fallback; no normalisation, a marker before the text, repeated spaces stay
+    return out + field(2, field(3, 1) + field(35, 1)) + field(3, field(1, b"identity") + field(3, 1) + field(4, 0) + field(5, 1))
+
+
+def test_segmentation_equals_the_library(spark):
+    """The same ids as an independent unigram search over the same log scores; never a lower score than by merge ranks."""
+    import sentencepiece as library
+
+    with open(queries.tokenizer_file("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    other = library.SentencePieceProcessor(model_proto=unigram_model(model))
+    vocabulary = sentencepiece.Vocabulary(sentencepiece.scored_pieces(model))
+    ours = sentencepiece.Pieces(vocabulary)
+    ranks = sentencepiece.Pieces(sentencepiece.Vocabulary(sentencepiece.read_pieces(model)))
+    score = lambda ids: sum(vocabulary.scores[i] if vocabulary.kinds[i] == 1 else 0.0 for i in ids)
+    texts = [r["text"] for r in queries.documents(spark, "/root/testdata/sf0.001").select("text").collect() if r["text"]]
+    same = 0
+    for text in [*texts, "a  b   c", "漢字 x\n\ty", "    ", "é" * 30]:
+        mine, theirs = ours.encode(text).tolist(), other.encode(text)
+        assert score(mine) == pytest.approx(score(theirs), rel=1e-5), text[:80]
+        assert score(mine) >= score(ranks.encode(text).tolist()) - 1e-6
+        same += mine == theirs
+    assert same >= 0.95 * len(texts)  # 32-bit sums may part ties otherwise
+
+
 def test_sentencepiece_round_trip(spark, docs):
     with open(queries.tokenizer_file("piece_bpe_32k.model"), "rb") as f:
         model = f.read()
