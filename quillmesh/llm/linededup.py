@@ -1,10 +1,12 @@
 """Line dedup: explode normalised lines, hash, count distinct documents per hash, drop lines over threshold, reassemble by position.
 
-Native Spark throughout. A line's key is hashed to 128 bits; each task counts before the shuffle, so a line of a third of
-all documents costs a few rows per task. Texts move once, to meet the positions that go.
+Native Spark throughout. A line's key is hashed to 128 bits and the hashes are written once; each task counts before the shuffle, so
+a line of a third of all documents costs a few rows per task. Keys that have a thousandth of all lines or more are at most about
+a thousand: they meet their lines by broadcast, all others by a shuffle in which none of them is hot. Texts move once, to meet the positions that go.
 
 Defined results: a null or empty text is one empty line; rows that share a doc_id count as one document, each keeps its
-own text; rows with a null doc_id are neither counted nor changed; no rows give no rows; other columns pass through.
+own text; rows with a null doc_id are neither counted nor changed; no rows give no rows; other columns pass through, names that
+begin with _qm_ are taken.
 """
 
 from __future__ import annotations
@@ -13,8 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import SPACES
+from quillmesh.storage import materialize
 
-_SALTS = 32
+#: A key with one of so many parts of all lines is hot.
+_HOT_PARTS = 1024
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -37,12 +41,17 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Data
     lines = base.filter("_qm_id is not null").select("_qm_id", "_qm_text_hash", F.posexplode(_lines(F.col("_qm_text"))).alias("_qm_at", "_qm_line"))
     lines = lines.select("_qm_id", "_qm_text_hash", "_qm_at", line_key(F.col("_qm_line")).alias("_qm_key")).filter(F.length("_qm_key") >= min_chars)
     lines = lines.select("_qm_id", "_qm_text_hash", "_qm_at", F.xxhash64("_qm_key").alias("_qm_h1"), F.xxhash64(F.lit(1), "_qm_key").alias("_qm_h2"))
-    often = lines.groupBy("_qm_h1", "_qm_h2").agg(F.count_distinct("_qm_id").alias("_qm_docs"), F.max("_qm_id").alias("_qm_stays"))
-    often = often.filter(F.col("_qm_docs") >= min_docs).select("_qm_h1", "_qm_h2", "_qm_stays")
-    # A line of a third of all documents would meet its row in one task: dealt by a salt too, it meets a copy in each of many.
-    often = often.withColumn("_qm_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    salted = lines.withColumn("_qm_salt", F.pmod(F.xxhash64("_qm_id"), F.lit(_SALTS)).cast("int"))
-    gone = salted.join(often, ["_qm_h1", "_qm_h2", "_qm_salt"]).filter("_qm_id != _qm_stays")
+    lines, hashes = materialize(lines, "lines"), ["_qm_h1", "_qm_h2"]
+    # a key's lines in a document first, so that distinct documents need no second set of keys
+    often = lines.groupBy(*hashes, "_qm_id").agg(F.count("*").alias("_qm_n")).groupBy(*hashes)
+    often = often.agg(F.count("*").alias("_qm_docs"), F.sum("_qm_n").alias("_qm_n"), F.max("_qm_id").alias("_qm_stays"))
+    often = materialize(often.filter(F.col("_qm_docs") >= min_docs), "often")
+    total = often.agg(F.sum("_qm_n")).first()[0] or 0
+    hot = often.filter(F.col("_qm_n") * _HOT_PARTS >= total).select(*hashes, "_qm_stays")
+    rest = often.filter(F.col("_qm_n") * _HOT_PARTS < total).select(*hashes, F.col("_qm_stays").alias("_qm_rest"))
+    met = lines.join(F.broadcast(hot), hashes, "left")  # at most _HOT_PARTS rows
+    cold = met.filter("_qm_stays is null").drop("_qm_stays").join(rest, hashes).filter("_qm_id != _qm_rest")
+    gone = met.filter("_qm_id != _qm_stays").select("_qm_id", "_qm_text_hash", "_qm_at").unionByName(cold.select("_qm_id", "_qm_text_hash", "_qm_at"))
     gone = gone.groupBy("_qm_id", "_qm_text_hash").agg(F.collect_set("_qm_at").alias("_qm_gone"))
     gone = gone.withColumnsRenamed({"_qm_id": "_qm_gone_id", "_qm_text_hash": "_qm_gone_hash"})
     both = docs.join(gone, (docs["doc_id"] == gone["_qm_gone_id"]) & (F.xxhash64(docs["text"]) == gone["_qm_gone_hash"]), "left")
