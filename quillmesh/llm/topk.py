@@ -5,8 +5,8 @@ non-zero components are a posting list, and each query's non-zero components sca
 array of scores. A partition selection keeps each query's k best of the block, and the blocks' lists are merged.
 
 Work grows with queries times candidates, as an exhaustive search must. Defined results: vectors that are null or hold null
-or non-finite components, and rows with a null vec_id, take no part; rows that share a vec_id are the same row to a
-query of that id, and candidates of their own to others; shorter vectors count as if filled up with zeros; components are
+or non-finite components, and rows with a null vec_id, take no part; rows that share a vec_id are the same row to a query of
+that id, which asks with the least of their vectors, and candidates of their own to others; shorter vectors count as if filled up with zeros; components are
 floor(scale * x) within 64-bit integers; no rows give no rows; other columns are ignored.
 """
 
@@ -85,10 +85,12 @@ def best(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray, ids
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each row whose vec_id is divisible by `every`."""
     whole = quantized(vectors, scale)
+    # repeated rows are counted first: no more than k of them can be among the k best
+    whole = whole.groupBy("vec_id", "v").count().select("vec_id", "v", F.explode(F.sequence(F.lit(1), F.least("count", F.lit(k)))).alias("copy"))
     n_all, n_asked = whole.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
     blocks, asks = max(1, math.ceil(n_all / CANDIDATE_BLOCK)), max(1, math.ceil(n_asked / QUERY_BLOCK))
-    spot = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    queries = whole.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    spot = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
+    queries = whole.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     queries = queries.select("vec_id", "v", spot(asks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"))
     candidates = whole.select("vec_id", "v", spot(blocks).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("qb"))
 
