@@ -5,10 +5,12 @@ languages share one sorted array of n-gram hashes per order, with a column per l
 The lowest cross-entropy wins; a text whose lowest is beyond what the language's own calibration texts reach is rejected.
 
 Fitting takes about `most_docs` labelled documents per language of at most `most_chars` code points each, chosen by a hash
-of doc_id; every fourth of them calibrates the rejection and is not counted. Prediction reads whole texts of all documents.
+of doc_id, and together at most `most_total` code points, a like share for each language; every fourth of them calibrates the rejection
+and is not counted. Of more than `most_langs` languages those with most documents are learned. Prediction reads whole texts of all documents.
 
 Defined results: a null text or one without a letter is `und` with score 0 and rejected; with nothing to learn from, every
-text is; ties go to the first language in natural order; a null doc_id is not held out and is never learned from.
+text is; ties go to the first language in natural order; a null doc_id is not held out and is never learned from; other columns
+pass through, names that begin with _qm_ are taken.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -199,7 +201,7 @@ class Judge:
         return self.models.langs[best], float(score), float(entropy[best]), bool(entropy[best] > self.models.limit[best, 0] + self.models.limit[best, 1] / np.sqrt(total[-1]))
 
 
-def fit(docs: DataFrame, most_docs: int = 400, most_chars: int = 20_000, most_langs: int = 200) -> Models | None:
+def fit(docs: DataFrame, most_docs: int = 400, most_chars: int = 20_000, most_langs: int = 200, most_total: int = 50_000_000) -> Models | None:
     """Models from a bounded sample of the labelled documents that aren't held out, of a long one its first `most_chars` characters."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     labelled = labelled.select("doc_id", "lang", F.substring("text", 1, most_chars).alias("text"))
@@ -208,7 +210,11 @@ def fit(docs: DataFrame, most_docs: int = 400, most_chars: int = 20_000, most_la
         return None
     rate = F.create_map(*(x for lang, n in sizes for x in (F.lit(lang), F.lit(most_docs / n))))
     lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.filter(lot < F.element_at(rate, F.col("lang"))).limit(2 * most_docs * len(sizes))
+    # in the order of a hash, where ids repeat so that a lot stands for many rows
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text")
+    sample = labelled.filter(lot < F.element_at(rate, F.col("lang"))).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= 2 * most_docs)
+    sample = sample.withColumn("_sum", F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("_sum") <= max(most_chars, most_total // len(sizes)))
+    sample = sample.select("doc_id", "lang", "text")
     counts: dict[str, Counter] = {}
     aside: dict[str, list[Counter]] = {}
     for k, (_, lang, text) in enumerate(sorted(sample.collect())):
