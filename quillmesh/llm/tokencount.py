@@ -6,7 +6,7 @@ allocated by an explicit rule: `majority` (the section with most of its bytes, t
 section of its first or last byte). The counts of a document's sections so add up to its tokens.
 
 By default a section is a line with its line feed; fields are sections too, see field_counts(). Defined results: a null or
-empty text has no section; every row is a document of its own, whatever its doc_id; other columns are ignored.
+empty text is one section without tokens; every row is a document of its own, whatever its doc_id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -86,6 +86,8 @@ def section_counts(docs: DataFrame, ranks: str, pattern: str, rule: str = "major
         sink = Sink(schema, 20_000)
         for doc_id, text in rows(batches, "doc_id", "text"):
             if not text:
+                if sink.add(doc_id, 0, 0, 0, 0, 0):
+                    yield sink.batch()
                 continue
             raw = np.frombuffer(text.encode("utf-8"), np.uint8)
             ends = bounds(raw)
