@@ -131,24 +131,40 @@ class Network:
         x = np.broadcast_to(p["bias"], (len(context), WIDTH)).copy()
         for side in range(2 * REACH):
             x += p["embed"][context[:, side]] * p["side"][side]
-        return np.tanh(x)
+        return np.tanh(x, out=x)
 
-    def log_probs(self, targets: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """log p(target | context) of each row."""
-        p, hidden, n = self.part, self._hidden(context), len(targets)
-        klass, place = targets // PLACES, targets % PLACES
-        logits = hidden @ p["klass"] + p["klass_bias"]
-        logits -= logits.max(1, keepdims=True)
-        out = logits[np.arange(n), klass] - np.log(np.exp(logits).sum(1))
+    @staticmethod
+    def _bounded(weights: np.ndarray, bias: np.ndarray) -> bool:
+        """Whether no hidden layer, whose values are within one, can give a logit whose exponential overflows or vanishes."""
+        return float(np.abs(weights).max()) * WIDTH + float(np.abs(bias).max()) < 60
+
+    @staticmethod
+    def _exp(logits: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Exponentials, in place, and their sums by row. A product with ones sums rows faster than a reduction does."""
+        if not bounded:
+            logits -= logits.max(1, keepdims=True)
+        np.exp(logits, out=logits)
+        return logits, logits @ np.ones(logits.shape[1], np.float32)
+
+    def _classes(self, klass: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """The rows of each class that has some."""
         order = np.argsort(klass.astype(np.uint8), kind="stable")
         ends = np.cumsum(np.bincount(klass, minlength=CLASSES))
         for c, (s, e) in enumerate(zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)):
             if s < e:
-                some = order[s:e]
-                logits = hidden[some] @ p["place"][c] + p["place_bias"][c]
-                logits -= logits.max(1, keepdims=True)
-                out[some] += logits[np.arange(e - s), place[some]] - np.log(np.exp(logits).sum(1))
-        return out
+                yield c, order[s:e]
+
+    def log_probs(self, targets: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """log p(target | context) of each row."""
+        p, hidden = self.part, self._hidden(context)
+        klass, place = targets // PLACES, targets % PLACES
+        share, total = self._exp(hidden @ p["klass"] + p["klass_bias"], self._bounded(p["klass"], p["klass_bias"]))
+        out = share[np.arange(len(targets)), klass] / total
+        bounded = self._bounded(p["place"], p["place_bias"])
+        for c, some in self._classes(klass):
+            share, total = self._exp(hidden[some] @ p["place"][c] + p["place_bias"][c], bounded)
+            out[some] *= share[np.arange(len(some)), place[some]] / total
+        return np.log(np.maximum(out, 1e-37))
 
     def learn(self, targets: np.ndarray, context: np.ndarray, memory: Network, rate: float) -> None:
         """One step of Adagrad on the mean loss of these rows; memory holds the summed squares of the gradients."""
@@ -156,31 +172,30 @@ class Network:
         klass, place = targets // PLACES, targets % PLACES
         grad = Network(np.zeros_like(self.flat))
         g = grad.part
-        logits = hidden @ p["klass"] + p["klass_bias"]
-        share = np.exp(logits - logits.max(1, keepdims=True))
-        share /= share.sum(1, keepdims=True)
+        share, total = self._exp(hidden @ p["klass"] + p["klass_bias"], self._bounded(p["klass"], p["klass_bias"]))
+        share *= (1 / total)[:, None]
         share[np.arange(n), klass] -= 1
-        g["klass"][:], g["klass_bias"][:] = hidden.T @ share, share.sum(0)
+        ones = np.ones(n, np.float32)
+        g["klass"][:], g["klass_bias"][:] = hidden.T @ share, ones @ share
         back = share @ p["klass"].T
-        order = np.argsort(klass.astype(np.uint8), kind="stable")
-        ends = np.cumsum(np.bincount(klass, minlength=CLASSES))
-        for c, (s, e) in enumerate(zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)):
-            if s < e:
-                some = order[s:e]
-                logits = hidden[some] @ p["place"][c] + p["place_bias"][c]
-                share = np.exp(logits - logits.max(1, keepdims=True))
-                share /= share.sum(1, keepdims=True)
-                share[np.arange(e - s), place[some]] -= 1
-                g["place"][c], g["place_bias"][c] = hidden[some].T @ share, share.sum(0)
-                back[some] += share @ p["place"][c].T
+        bounded = self._bounded(p["place"], p["place_bias"])
+        for c, some in self._classes(klass):
+            own = hidden[some]
+            share, total = self._exp(own @ p["place"][c] + p["place_bias"][c], bounded)
+            share *= (1 / total)[:, None]
+            share[np.arange(len(some)), place[some]] -= 1
+            g["place"][c], g["place_bias"][c] = own.T @ share, ones[: len(some)] @ share
+            back[some] += share @ p["place"][c].T
         back *= 1 - hidden * hidden
-        g["bias"][:] = back.sum(0)
+        g["bias"][:] = ones @ back
         for side in range(2 * REACH):
-            ids = context[:, side]
-            g["side"][side] = (p["embed"][ids] * back).sum(0)
+            ids = context[:, side].astype(np.int16)
+            g["side"][side] = np.einsum("ij,ij->j", p["embed"][ids], back)
             order = np.argsort(ids, kind="stable")
-            first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-            g["embed"][ids[order][first]] += np.add.reduceat((back * p["side"][side])[order], first, axis=0)
+            sorted_ids = ids[order]
+            first = np.flatnonzero(np.diff(sorted_ids, prepend=-1))
+            # a side's factor is the same for all its words
+            g["embed"][sorted_ids[first]] += np.add.reduceat(back[order], first, axis=0) * p["side"][side]
         grad.flat /= n
         memory.flat += grad.flat * grad.flat
         self.flat -= rate * grad.flat / (np.sqrt(memory.flat) + 1e-6)
