@@ -6,6 +6,8 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: [\x20\x09-\x0D], the ASCII white space on which bytes.split() splits too.
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -32,6 +34,23 @@ def cuts(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
     yield raw[at:] if at else raw
 
 
+#: A key with one of so many parts of all rows is hot; there are at most so many.
+HOT_PARTS = 1024
+
+
+def join_counted(rows_of: DataFrame, counted: DataFrame, on: list[str], total: int, value: str, n: str) -> DataFrame:
+    """rows_of with counted's value, where counted has a row for each key with the number n of rows that have it, of `total`.
+
+    Hot keys meet their rows by broadcast, at most HOT_PARTS rows; in the shuffle of the others no key is hot. A row without a key
+    in counted gets a null.
+    """
+    is_hot = F.col(n) * HOT_PARTS >= total
+    hot = counted.filter(is_hot).select(*on, F.col(value).alias("_qm_hot"))
+    met = rows_of.join(F.broadcast(hot), on, "left")
+    cold = met.filter("_qm_hot is null").drop("_qm_hot").join(counted.filter(~is_hot).select(*on, value), on, "left")
+    return met.filter("_qm_hot is not null").withColumnRenamed("_qm_hot", value).unionByName(cold)
+
+
 class Sink:
     """Gathers output rows by column and gives Arrow batches of a schema."""
 

@@ -1,7 +1,7 @@
 """Line dedup: explode normalised lines, hash, count distinct documents per hash, drop lines over threshold, reassemble by position.
 
 Native Spark throughout. A line's key is hashed to 128 bits and the hashes are written once; each task counts before the shuffle, so
-a line of a third of all documents costs a few rows per task. Keys that have a thousandth of all lines or more are at most about
+a line of a third of all documents costs a few rows per task. Keys that have a thousandth of these lines or more are at most about
 a thousand: they meet their lines by broadcast, all others by a shuffle in which none of them is hot. Texts move once, to meet the positions that go.
 
 Defined results: a null or empty text is one empty line; rows that share a doc_id count as one document, each keeps its
@@ -14,11 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import SPACES
+from quillmesh.llm.common import SPACES, join_counted
 from quillmesh.storage import materialize
 
-#: A key with one of so many parts of all lines is hot.
-_HOT_PARTS = 1024
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -47,11 +45,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Data
     often = often.agg(F.count("*").alias("_qm_docs"), F.sum("_qm_n").alias("_qm_n"), F.max("_qm_id").alias("_qm_stays"))
     often = materialize(often.filter(F.col("_qm_docs") >= min_docs), "often")
     total = often.agg(F.sum("_qm_n")).first()[0] or 0
-    hot = often.filter(F.col("_qm_n") * _HOT_PARTS >= total).select(*hashes, "_qm_stays")
-    rest = often.filter(F.col("_qm_n") * _HOT_PARTS < total).select(*hashes, F.col("_qm_stays").alias("_qm_rest"))
-    met = lines.join(F.broadcast(hot), hashes, "left")  # at most _HOT_PARTS rows
-    cold = met.filter("_qm_stays is null").drop("_qm_stays").join(rest, hashes).filter("_qm_id != _qm_rest")
-    gone = met.filter("_qm_id != _qm_stays").select("_qm_id", "_qm_text_hash", "_qm_at").unionByName(cold.select("_qm_id", "_qm_text_hash", "_qm_at"))
+    gone = join_counted(lines, often, hashes, total, "_qm_stays", "_qm_n").filter("_qm_id != _qm_stays")
     gone = gone.groupBy("_qm_id", "_qm_text_hash").agg(F.collect_set("_qm_at").alias("_qm_gone"))
     gone = gone.withColumnsRenamed({"_qm_id": "_qm_gone_id", "_qm_text_hash": "_qm_gone_hash"})
     both = docs.join(gone, (docs["doc_id"] == gone["_qm_gone_id"]) & (F.xxhash64(docs["text"]) == gone["_qm_gone_hash"]), "left")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import Sink, cuts, rows
+from quillmesh.llm.common import Sink, cuts, join_counted, rows
 from quillmesh.operators.graph import components
 from quillmesh.storage import materialize
 
@@ -375,12 +375,14 @@ def near_groups(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     never is a component's name unless all its doc_ids are null; no rows give no rows; other columns are ignored.
     """
     found = materialize(fingerprints(docs, words), "fingerprints")
-    classes = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    classes = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
     reached = _reached(classes.select(F.array("fp").alias("fps")), prints=1, radius=radius)
     named = reached.join(classes, reached["node"] == classes["fp"]).groupBy("root").agg(F.min("first").alias("name"))
     renamed = reached.join(named, "root").select(F.col("node").alias("fp"), "name")
-    final = classes.join(renamed, "fp", "left").select("fp", F.coalesce("name", "first").alias("component_id"))
-    return found.join(final, "fp").select("doc_id", "fp", "component_id")
+    # a null name stands for itself: it has to tell a hot fingerprint from one that isn't
+    final = materialize(classes.join(renamed, "fp", "left").select("fp", "n", F.struct(F.coalesce("name", "first").alias("id")).alias("component")), "components")
+    total = final.agg(F.sum("n")).first()[0] or 0
+    return join_counted(found, final, ["fp"], total, "component", "n").select("doc_id", "fp", F.col("component.id").alias("component_id"))
 
 
 def hex_fingerprint(fp):

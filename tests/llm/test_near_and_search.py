@@ -268,6 +268,32 @@ def test_equals_sql(spark, name):
     assert plain(got) == plain(want)
 
 
+def test_url_query_with_null_ids(spark, tmp_path):
+    """Null ids in labels and urls, and no page at all, against the SQL."""
+    labels = [(None, 0, 1), (1, 0, 0), (2, 1, 1), (3, 1, 0), (3, 0, 0), (4, None, None)]
+    pages = [(k, f"http://h{k % 3}.example.co.uk:80/p/{k % 6}.html") for k in range(40)] + [(None, None), (90, "http://x.org/fr/none"), (91, "no url"), (92, "http://10.0.0.1/2")]
+    for at, rows in ((tmp_path / "some", pages), (tmp_path / "none", [])):
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(at / "labels.parquet"))
+        spark.createDataFrame(rows, "page_id long, url string").coalesce(1).write.parquet(str(at / "pages.parquet"))
+        con = duckdb.connect()
+        for name in ("labels", "pages"):
+            con.sql(f"create view {name} as select * from '{at}/{name}.parquet/*.parquet'")
+        want = con.sql(queries.ORACLES["op5_url_filters"])
+        got = sorted(str(tuple(r[c] for c in want.columns)) for r in queries.op5_url_filters(spark, str(at)).collect())
+        assert got == sorted(map(str, want.fetchall())) and len(got) == len(rows)
+
+
+def test_pipeline_edges(spark):
+    """Empty tables and repeated rows: rows of one doc_id and text stay or go together."""
+    docs = queries.documents(spark, AT).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, AT).count() == 0
+    text = " ".join(f"w{k}" for k in range(50))
+    rows = [(1, text), (1, text), (2, text), (3, "another text of some other words")]
+    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), AT).collect()
+    assert sorted(r["doc_id"] for r in out) == [1, 1, 3]
+
+
 def test_pipeline(spark):
     docs = queries.documents(spark, AT).withColumn("extra", F.lit("kept"))
     noise = " ".join("".join(random.Random(k).choices("qxzvkjwpfgh", k=9)) for k in range(80))

@@ -143,6 +143,21 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_long_texts_and_hot_lines(spark):
+    """A very long text, a line of all documents and many lines of three: against plain counting."""
+    often = "the line that every document has, over and over"
+    rows = [(k, f"{often}\nown line of document number {k}\nshared line of group {k // 3:05d} here\n{often.upper()}  ") for k in range(300)]
+    rows += [(1000, LONG), (1001, LONG + "\n" + LONG), (1002, LONG)]
+    docs: dict = {}
+    for k, text in rows:
+        for line in text.split("\n"):
+            key = "".join(c.lower() if c.isascii() else c for c in line.strip(" \t\n\x0b\x0c\r"))
+            docs.setdefault(key, set()).add(k)
+    keep = lambda k, line: (lambda key: len(key) < 20 or len(docs[key]) < 3 or k == max(docs[key]))("".join(c.lower() if c.isascii() else c for c in line.strip(" \t\n\x0b\x0c\r")))
+    got = {r["doc_id"]: r["_qm_kept"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: "\n".join(line for line in text.split("\n") if keep(k, line)) for k, text in rows}
+
+
 def test_language_models_are_distributions():
     from collections import Counter
 
