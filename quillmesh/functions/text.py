@@ -85,16 +85,17 @@ def clean_response(reply: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(said, "^```(?:json)?", ""), "```$", ""))
 
 
-def json_candidates(reply: Column) -> Column:
-    """A fenced block, the widest object, the widest array, all of it: in this order, those that are there."""
-    parts = [F.regexp_extract(reply, "(?s)```(?:json)?\\s*(.*?)```", 1), F.regexp_extract(reply, "(?s)\\{.*\\}", 0), F.regexp_extract(reply, "(?s)\\[.*\\]", 0), reply]
-    return F.filter(F.array(*parts), lambda p: p != "")
+def json_candidates(reply: Column, listed: bool = False) -> Column:
+    """A fenced block, the widest object, the widest array, all of it: in this order, those that are there. listed: no object, as a list is asked for."""
+    fenced, one, many = (F.regexp_extract(reply, p, k) for p, k in (("(?s)```(?:json)?\\s*(.*?)```", 1), ("(?s)\\{.*\\}", 0), ("(?s)\\[.*\\]", 0)))
+    return F.filter(F.array(*[fenced, *([] if listed else [one]), many, reply]), lambda p: p != "")
 
 
 def parse_reply(reply: Column, schema: str) -> Column:
-    """A struct by a schema from a reply, null where nothing parses; the first candidate that does wins."""
-    candidates = json_candidates(clean_response(reply))
-    return F.coalesce(*[F.from_json(F.get(candidates, k), schema, {"mode": "PERMISSIVE"}) for k in range(4)])
+    """A struct or array by a schema from a reply, null where nothing parses; the first candidate that does wins."""
+    listed = schema.lower().startswith("array<")
+    candidates = json_candidates(clean_response(reply), listed)
+    return F.coalesce(*[F.from_json(F.get(candidates, k), schema, {"mode": "PERMISSIVE"}) for k in range(3 if listed else 4)])
 
 
 def hop_path(first: Column, second: Column) -> Column:

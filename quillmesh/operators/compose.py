@@ -16,15 +16,15 @@ def atomic_seeds(shared: DataFrame, least_layouts: int = 3, most: int = 30) -> D
     return seeds.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
 
-def seed_appearances(seeds: DataFrame, contents: DataFrame, most: int = 6) -> DataFrame:
+def seed_appearances(seeds: DataFrame, contents: DataFrame, most: int = 6, extra: list[str] | None = None) -> DataFrame:
     """Of each seed the first text and the first visual layouts that name it, with the surface form found there.
 
-    The first appearances are cut from the seed's own array, so no window is needed.
+    The first appearances are cut from the seed's own array, so no window is needed. extra: further columns of contents.
     """
     names = F.concat(F.array("canonical_name"), "aliases")
     some = [F.slice(F.filter("appearances", kind), 1, most) for kind in (lambda a: a["modality"] == "text", lambda a: a["modality"] != "text")]
     out = seeds.select("doc_id", "canonical_name", names.alias("names"), F.inline(F.concat(*some)))
-    out = out.join(contents.select("doc_id", "layout_id", "content"), ["doc_id", "layout_id"])
+    out = out.join(contents.select("doc_id", "layout_id", "content", *(extra or [])), ["doc_id", "layout_id"])
     return out.withColumn("shared_entity", surface_form(F.col("content"), F.col("names"))).filter("shared_entity is not null").drop("names")
 
 
@@ -54,12 +54,13 @@ def with_text_redundancy(atomic: DataFrame, layouts: DataFrame, least: int = 30)
     return atomic.join(hits, "sh_id", "left").withColumn("text_redundant", F.coalesce("text_redundant", F.lit(False)))
 
 
-def bridge_pairs(atomic: DataFrame) -> DataFrame:
+def bridge_pairs(atomic: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Bridge questions with targets of the same surface form in other layouts.
 
     A target that text makes redundant is no second hop of another modality. At most twelve appearances a seed bound the pairs.
+    extra: further columns of either side.
     """
-    side = lambda role, n: atomic.filter(F.col("question_role") == role).select("doc_id", "shared_entity", *(F.col(c).alias(f"{c}{n}") for c in ("sh_id", "layout_id", "page_id", "modality", "answer", "text_redundant")))
+    side = lambda role, n: atomic.filter(F.col("question_role") == role).select("doc_id", "shared_entity", *(F.col(c).alias(f"{c}{n}") for c in ("sh_id", "layout_id", "page_id", "modality", "answer", "text_redundant", *(extra or []))))
     pairs = side("bridge", 1).join(side("target", 2), ["doc_id", "shared_entity"]).filter("layout_id1 != layout_id2 and not (text_redundant2 and modality1 != modality2)")
     pairs = pairs.withColumn("hop_path", hop_path(F.col("modality1"), F.col("modality2"))).withColumn("cross_modal", F.col("modality1") != F.col("modality2")).withColumn("cross_page", F.col("page_id1") != F.col("page_id2"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("cross_modal"), F.desc("cross_page"), "sh_id1", "sh_id2")

@@ -13,18 +13,15 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from quillmesh.functions.text import parse_reply
+from quillmesh.functions.text import clean_response, parse_reply
 
-#: What a failed judge stands for: it keeps (open), drops (closed) or counts evidence as required.
-FAIL_OPEN, FAIL_CLOSED, KEEP_EVIDENCE = "open", "closed", "required"
-DEFAULTS = {
-    "entity_match": FAIL_CLOSED, "single_hop_score": FAIL_CLOSED, "multihop_score": FAIL_CLOSED, "single_source": FAIL_OPEN, "text_only": FAIL_OPEN,
-    "visual_only": FAIL_OPEN, "final_review": FAIL_OPEN, "fact": FAIL_CLOSED, "pattern": FAIL_CLOSED, "necessity": KEEP_EVIDENCE, "text_rag": FAIL_OPEN,
-}
+#: What a failed judge stands for: it keeps (open) or drops (closed).
+FAIL_OPEN, FAIL_CLOSED = "open", "closed"
 
 
 @dataclass
@@ -33,7 +30,7 @@ class HeuristicJudge:
 
     verdict: Column
 
-    def replies(self, df: DataFrame, prompt: str) -> DataFrame:
+    def replies(self, df: DataFrame, prompt: str, image: str | None = None) -> DataFrame:
         return df.withColumn("reply", F.to_json(self.verdict))
 
 
@@ -43,7 +40,7 @@ class ReplayJudge:
 
     recorded: DataFrame
 
-    def replies(self, df: DataFrame, prompt: str) -> DataFrame:
+    def replies(self, df: DataFrame, prompt: str, image: str | None = None) -> DataFrame:
         known = self.recorded.groupBy("prompt_sha").agg(F.max("reply").alias("reply"))
         return df.withColumn("_sha", F.sha2(F.col(prompt), 256)).join(known.withColumnRenamed("prompt_sha", "_sha"), "_sha", "left").drop("_sha")
 
@@ -77,23 +74,30 @@ class HttpJudge:
         return None
 
     def replies(self, df: DataFrame, prompt: str, image: str | None = None) -> DataFrame:
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with ThreadPoolExecutor(self.workers) as pool:
-                for frame in frames:
-                    pictures = frame[image] if image else [None] * len(frame)
-                    yield frame.assign(reply=list(pool.map(self._ask, frame[prompt], pictures)))
+                for batch in batches:
+                    texts = batch.column(batch.schema.get_field_index(prompt)).to_pylist()
+                    pictures = batch.column(batch.schema.get_field_index(image)).to_pylist() if image else [None] * len(texts)
+                    reply = pa.array(list(pool.map(self._ask, texts, pictures)), pa.string())
+                    yield pa.RecordBatch.from_arrays([*batch.columns, reply], names=[*batch.schema.names, "reply"])
 
-        return df.mapInPandas(run, df.withColumn("reply", F.lit(None).cast("string")).schema)
+        return df.mapInArrow(run, StructType([*df.schema.fields, StructField("reply", StringType())]))
 
 
-def judge(df: DataFrame, prompt: str, schema: str, backend, into: str = "verdict") -> DataFrame:
+def judge(df: DataFrame, prompt: str, schema: str, backend, into: str = "verdict", image: str | None = None) -> DataFrame:
     """df with a struct column by the schema, null where the judge failed or its reply doesn't parse."""
-    return backend.replies(df, prompt).withColumn(into, parse_reply(F.col("reply"), schema)).drop("reply")
+    return backend.replies(df, prompt, image).withColumn(into, parse_reply(F.col("reply"), schema)).drop("reply")
+
+
+def said(df: DataFrame, prompt: str, backend, into: str, image: str | None = None) -> DataFrame:
+    """df with the judge's own words: what follows its thinking, without quotes around it; null where it failed."""
+    return backend.replies(df, prompt, image).withColumn(into, F.btrim(clean_response(F.col("reply")), F.lit('"'))).drop("reply")
 
 
 def passes(flag: Column, policy: str) -> Column:
     """A boolean verdict with the policy's default on failure."""
-    return F.coalesce(flag, F.lit(policy in (FAIL_OPEN, KEEP_EVIDENCE)))
+    return F.coalesce(flag, F.lit(policy == FAIL_OPEN))
 
 
 def judged_branch(df: DataFrame, condition: Column, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:

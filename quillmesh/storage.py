@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: The tables written so far, in order.
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,11 +30,29 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillmesh/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
+def written() -> int:
+    """How many tables have been written so far."""
+    return len(_WRITTEN)
+
+
+def drop_since(spark: SparkSession, mark: int) -> None:
+    """Delete the tables written since written() gave mark, but for the last: what it was made from is no longer needed."""
+    for path in _WRITTEN[mark:-1]:
+        _delete(spark, path)
+    del _WRITTEN[mark:-1]
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete every table that materialize() wrote; results that still read them become invalid."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillmesh")
-    path.getFileSystem(conf).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/quillmesh")
+    _WRITTEN.clear()
