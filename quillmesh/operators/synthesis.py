@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillmesh.functions.text import clip, mentions_any
+from quillmesh.operators.retrieval import cosine_topk
+from quillmesh.operators.verdicts import BY_TEXT_RAG, PASS
+
 
 def candidates(shared: DataFrame, least_layouts: int = 5, most: int = 20, appearances: int = 10, min_modalities: int = 1) -> DataFrame:
     """Named entities of many layouts, the most widespread of each document, with their first appearances."""
@@ -15,9 +19,9 @@ def candidates(shared: DataFrame, least_layouts: int = 5, most: int = 20, appear
 
 
 def facts(chosen: DataFrame, contents: DataFrame, pattern: str = "[a-z]{8,}") -> DataFrame:
-    """L13h: a fact for each appearance whose layout names the entity; its data points are what the pattern finds."""
-    seen = chosen.select("doc_id", F.col("canonical_name").alias("entity"), F.inline("appearances"))
-    out = seen.join(contents.select("doc_id", "layout_id", "content"), ["doc_id", "layout_id"]).filter(F.contains(F.lower("content"), F.col("entity")))
+    """L13h, P10: a fact for each appearance whose layout has the entity's name or an alias; its data points are what the pattern finds."""
+    seen = chosen.select("doc_id", F.col("canonical_name").alias("entity"), F.concat(F.array("canonical_name"), "aliases").alias("names"), F.inline("appearances"))
+    out = seen.join(contents.select("doc_id", "layout_id", "content"), ["doc_id", "layout_id"]).filter(mentions_any(F.col("content"), F.col("names"))).drop("names")
     return out.withColumn("data_points", F.array_sort(F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), F.lit(0)))))
 
 
@@ -44,17 +48,21 @@ def pattern_facts(patterns: DataFrame, known: DataFrame, least: int = 3) -> Data
     held = known.groupBy("doc_id", "entity").agg(F.array_sort(F.collect_list(F.struct("fact_no", "layout_id", "modality"))).alias("facts"))
     out = ok.join(held, ["doc_id", "entity"], "left")
     out = out.withColumn("required", F.coalesce(F.filter("facts", lambda f: F.array_contains("required_ids", f["fact_no"])), F.array().cast("array<struct<fact_no:int,layout_id:int,modality:string>>")))
-    return out.withColumn("num_required", F.size("required")).withColumn("modalities", F.array_sort(F.array_distinct(F.transform("required", lambda f: f["modality"])))).drop("facts")
+    return out.withColumn("num_required", F.size("required_ids")).withColumn("modalities", F.array_sort(F.array_distinct(F.transform("required", lambda f: f["modality"])))).drop("facts")
 
 
-def text_rag_verdicts(asked: DataFrame, chunks: DataFrame, most: int = 3) -> DataFrame:
-    """F19, L18h: fails where the retrieved chunks already hold all that an answer cites.
+def text_rag_verdicts(asked: DataFrame, chunks: DataFrame, embed, k: int = 20) -> DataFrame:
+    """T4, L18h, F19: fails where the k chunks of the document nearest to the question already hold all that an answer cites.
 
-    asked: doc_id, entity, points; chunks: doc_id, layout_id, chunk. Retrieval here is lexical: the first chunks that name the entity.
+    asked: doc_id, entity, question, points; chunks: doc_id, layout_id, chunk; embed: text to vector, of at most 7,000 characters (P12).
+    Without chunks nothing is sufficient.
     """
-    hits = asked.select("doc_id", "entity").join(chunks, "doc_id").filter(F.contains(F.lower("chunk"), F.col("entity")))
-    order = Window.partitionBy("doc_id", "entity").orderBy("layout_id")
-    top = hits.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).groupBy("doc_id", "entity").agg(F.concat_ws("\n", F.array_sort(F.collect_list("chunk"))).alias("context"), F.count("*").cast("int").alias("retrieved_n"))
+    vector = lambda c: embed(clip(F.col(c), 7000)).alias("v")
+    queries = asked.select("doc_id", F.struct("doc_id", "entity").alias("query_id"), vector("question"))
+    found = cosine_topk(queries, chunks.select("doc_id", F.col("layout_id").alias("chunk_id"), vector("chunk")), k=k, on=["doc_id"])
+    found = found.select(F.col("query_id.doc_id").alias("doc_id"), F.col("query_id.entity").alias("entity"), F.col("chunk_id").alias("layout_id"), "rank")
+    told = found.join(chunks.select("doc_id", "layout_id", "chunk"), ["doc_id", "layout_id"]).groupBy("doc_id", "entity")
+    top = told.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk"))), lambda x: x["chunk"]), "\n\n---\n\n").alias("context"), F.count("*").cast("int").alias("retrieved_n"))
     out = asked.join(top, ["doc_id", "entity"], "left").withColumn("retrieved_n", F.coalesce("retrieved_n", F.lit(0)))
-    sufficient = F.forall("points", lambda p: F.contains(F.coalesce("context", F.lit("")), p))
-    return out.withColumn("sufficient", sufficient).withColumn("filter_result", F.when(sufficient, "fail_text_rag_sufficient").otherwise("pass")).drop("context")
+    sufficient = F.col("context").isNotNull() & F.forall("points", lambda p: F.contains("context", p))
+    return out.withColumn("sufficient", sufficient).withColumn("filter_result", F.when(sufficient, BY_TEXT_RAG).otherwise(PASS)).drop("context")

@@ -6,16 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmesh.functions.text import answer_matches, least_score
+from quillmesh.functions.text import answer_matches, least_score, strip
+
+# The names of verdicts, which outputs must match.
+PASS, NO_LAYOUT, HOP1, HOP2 = "pass", "skip_missing_layout", "fail_hop1_sufficient", "fail_hop2_sufficient"
+ONE_MODALITY, BY_TEXT, BY_SIGHT = "skip_not_cross_modal", "fail_text_only_sufficient", "fail_visual_only_sufficient"
+TOO_FEW, BY_TEXT_RAG = "fail_insufficient_required_evidence", "fail_text_rag_sufficient"
 
 
 def shortcut_verdict(first_seen: Column, second_seen: Column, first: Column, second: Column) -> Column:
     """fails where one hop alone gives the answer; skipped where a layout is missing; an unknown probe passes."""
     return (
-        F.when(~(first_seen & second_seen), "skip_missing_layout")
-        .when(F.coalesce(first, F.lit(False)), "fail_hop1_sufficient")
-        .when(F.coalesce(second, F.lit(False)), "fail_hop2_sufficient")
-        .otherwise("pass")
+        F.when(~(first_seen & second_seen), NO_LAYOUT)
+        .when(F.coalesce(first, F.lit(False)), HOP1)
+        .when(F.coalesce(second, F.lit(False)), HOP2)
+        .otherwise(PASS)
     )
 
 
@@ -31,9 +36,15 @@ def shortcuts(chains: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def dedup_answers(chains: DataFrame) -> DataFrame:
-    """One chain for each entity and answer, the best, then the first by id."""
-    order = Window.partitionBy("doc_id", F.lower("shared_entity"), F.lower(F.trim("final_answer"))).orderBy(F.desc("quality_score"), "mh_id")
-    return chains.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    """Of the chains that passed one for each list of bridge entities and answer, the best, then the first by id.
+
+    Entities are told apart as they are written, answers by their stripped lower-case form. A chain without bridge_entities has its
+    shared entity as the only one.
+    """
+    bridges = F.col("bridge_entities") if "bridge_entities" in chains.columns else F.array("shared_entity")
+    order = Window.partitionBy("doc_id", bridges, strip(F.lower("final_answer"))).orderBy(F.desc("quality_score"), "mh_id")
+    passed = chains.filter(F.col("filter_result") == PASS) if "filter_result" in chains.columns else chains
+    return passed.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
 def packed_context(layouts: DataFrame, cap: int = 200_000, least: int = 30) -> DataFrame:
@@ -49,9 +60,14 @@ def packed_context(layouts: DataFrame, cap: int = 200_000, least: int = 30) -> D
     return both.withColumn("ord", F.row_number().over(order)).filter("over = 0").select("doc_id", "layout_id", "ord", "chunk")
 
 
-def visual_pages(layouts: DataFrame, most: int = 5) -> DataFrame:
-    """doc_id and its first pages with a figure or table, in order."""
+def visual_pages(layouts: DataFrame, most: int = 5, existing: DataFrame | None = None) -> DataFrame:
+    """doc_id and its first pages with a figure or table, in order; of these only those whose image exists.
+
+    existing: doc_id and page_id of the images there are; None where all are there.
+    """
     seen = layouts.filter(F.col("modality").isin("figure", "table"))
+    if existing is not None:
+        seen = seen.join(existing.select("doc_id", "page_id"), ["doc_id", "page_id"], "left_semi")
     return seen.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_set("page_id")), 1, most).alias("pages"))
 
 
@@ -68,9 +84,9 @@ def modality_verdicts(chains: DataFrame, context: DataFrame, layouts: DataFrame,
     shown = layouts.join(pages.select("doc_id", F.explode("pages").alias("page_id")), ["doc_id", "page_id"]).filter("modality != 'text'")
     shown = shown.select(F.col("doc_id").alias("_doc"), F.lower("ocr_text").alias("_said"))
     by_sight = left.join(shown, (F.col("doc_id") == F.col("_doc")) & F.contains("_said", F.col("gold")), "left_semi").select("mh_id")
-    verdicts = by_text.select("mh_id", F.lit("fail_text_sufficient").alias("_v")).unionByName(by_sight.select("mh_id", F.lit("fail_visual_sufficient").alias("_v")))
+    verdicts = by_text.select("mh_id", F.lit(BY_TEXT).alias("_v")).unionByName(by_sight.select("mh_id", F.lit(BY_SIGHT).alias("_v")))
     out = chains.join(verdicts, "mh_id", "left")
-    return out.withColumn("filter_result", F.when(~F.col("cross_modal"), "skip_not_cross_modal").otherwise(F.coalesce("_v", F.lit("pass")))).drop("_v")
+    return out.withColumn("filter_result", F.when(~F.col("cross_modal"), ONE_MODALITY).otherwise(F.coalesce("_v", F.lit(PASS)))).drop("_v")
 
 
 def final_review(rows: DataFrame, dims: list[str], least: float = 7) -> DataFrame:
@@ -81,17 +97,20 @@ def final_review(rows: DataFrame, dims: list[str], least: float = 7) -> DataFram
 
 
 def leave_one_out(points: DataFrame, key: list[str], least: int = 3) -> DataFrame:
-    """Key, required, optional, filter_result. points: key, fact_no, data_points.
+    """Key, required, optional, num_required, n_llm_failed, modalities, filter_result. points: key, fact_no, modality, data_points.
 
     A point is needless if another point of its answer has all its data; each is judged against all others. The points of
-    one answer are an array, so judging needs no join.
+    one answer are an array, so judging needs no join. Null data is what the judge failed on: such a point counts as required.
+    modalities are those of the required points.
     """
-    whole = points.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("fact_no", "data_points"))).alias("p"))
-    covered = lambda x: F.exists("p", lambda y: (y["fact_no"] != x["fact_no"]) & (F.size(F.array_except(x["data_points"], y["data_points"])) == 0))
-    required = F.transform(F.filter("p", lambda x: ~covered(x)), lambda x: x["fact_no"])
-    optional = F.transform(F.filter("p", covered), lambda x: x["fact_no"])
-    out = whole.select(*key, required.alias("required"), optional.alias("optional"))
-    return out.withColumn("filter_result", F.when(F.size("required") < least, "fail_insufficient_required_evidence").otherwise("pass"))
+    whole = points.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("fact_no", "modality", "data_points"))).alias("p"))
+    covered = lambda x: F.coalesce(F.exists("p", lambda y: (y["fact_no"] != x["fact_no"]) & F.coalesce(F.size(F.array_except(x["data_points"], y["data_points"])) == 0, F.lit(False))), F.lit(False))
+    out = whole.withColumn("_kept", F.filter("p", lambda x: ~covered(x)))
+    out = out.select(
+        *key, F.transform("_kept", lambda x: x["fact_no"]).alias("required"), F.transform(F.filter("p", covered), lambda x: x["fact_no"]).alias("optional"), F.size("_kept").alias("num_required"),
+        F.size(F.filter("p", lambda x: x["data_points"].isNull())).alias("n_llm_failed"), F.array_sort(F.array_distinct(F.transform("_kept", lambda x: x["modality"]))).alias("modalities"),
+    )
+    return out.withColumn("filter_result", F.when(F.size("required") < least, TOO_FEW).otherwise(PASS))
 
 
 def verdict_counts(rows: DataFrame, group: list[str], column: str = "filter_result") -> DataFrame:

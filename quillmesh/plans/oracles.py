@@ -23,6 +23,21 @@ def _match(a: str, b: str) -> str:
     return f"(coalesce({a}, '') != '' and coalesce({b}, '') != '' and ({x} = {y} or contains({x}, {y}) or contains({y}, {x}) or {plain(x)} = {plain(y)}))"
 
 
+def _unit(text: str) -> str:
+    """The offline embedding of a text, divided by its norm."""
+    counts = f"list_transform(range(97, 123), lambda c: (length(lower(substr({text}, 1, 7000))) - length(replace(lower(substr({text}, 1, 7000)), chr(c::int), '')))::double)"
+    return f"list_transform({counts}, lambda x: x / (sqrt(list_sum(list_transform({counts}, lambda y: y * y))) + 1e-9))"
+
+
+def _packed(cap: int) -> str:
+    return f"""
+        select doc_id, layout_id, ord, chunk from (
+            select *, max((coalesce(before, 0) + length(chunk) > {cap})::int) over (partition by doc_id order by kind, layout_id) as over_, row_number() over (partition by doc_id order by kind, layout_id)::int as ord from (
+                select *, sum(length(chunk) + 2) over (partition by doc_id order by kind, layout_id rows between unbounded preceding and 1 preceding) as before from (
+                    select doc_id, layout_id, (modality != 'text')::int as kind, case when modality = 'text' then line else '[' || modality || ' OCR text] ' || line end as chunk
+                    from lay where length(line) >= 30))) where over_ = 0"""
+
+
 #: name: (what it rests on, its query)
 STEPS: dict[str, tuple[list[str], str]] = {
     "lay": ([], """
@@ -48,7 +63,8 @@ STEPS: dict[str, tuple[list[str], str]] = {
             window w as (partition by doc_id, base, island))"""),
     "sha": (["nam", "plu"], """
         select doc_id, canonical as canonical_name, list_sort(list_distinct(list(name))) as aliases, count(distinct layout_id)::int as num_layouts,
-               list_sort(list_distinct(list(modality))) as modalities, count(distinct modality) > 1 as cross_modal, count(distinct page_id) > 1 as cross_page
+               list_sort(list_distinct(list(modality))) as modalities, count(distinct modality) > 1 as cross_modal, count(distinct page_id) > 1 as cross_page,
+               row_number() over (partition by doc_id order by count(distinct modality) > 1 desc, count(distinct layout_id) desc, min(layout_id::bigint * 10000000 + ord), canonical)::int as position
         from nam join plu using (doc_id, norm) group by doc_id, canonical having count(distinct layout_id) >= 2"""),
     "app0": (["nam", "plu"], "select distinct doc_id, canonical as canonical_name, layout_id, page_id, modality from nam join plu using (doc_id, norm)"),
     "lea": (["con"], f"""
@@ -87,25 +103,27 @@ STEPS: dict[str, tuple[list[str], str]] = {
             where b.layout_id != t.layout_id and not (t.text_redundant and b.modality != t.modality))"""),
     "cha": (["pair"], """
         select * from (select *, row_number() over (partition by doc_id, least(layout_id1, layout_id2), greatest(layout_id1, layout_id2) order by mh_id) as n from pair) where n = 1"""),
-    "ctx": (["lay"], """
-        select doc_id, layout_id, ord, chunk from (
-            select *, max((coalesce(before, 0) + length(chunk) > 1500)::int) over (partition by doc_id order by kind, layout_id) as over_, row_number() over (partition by doc_id order by kind, layout_id)::int as ord from (
-                select *, sum(length(chunk) + 2) over (partition by doc_id order by kind, layout_id rows between unbounded preceding and 1 preceding) as before from (
-                    select doc_id, layout_id, (modality != 'text')::int as kind, case when modality = 'text' then line else '[' || modality || ' OCR text] ' || line end as chunk
-                    from lay where length(line) >= 30))) where over_ = 0"""),
+    "pro": (["con"], "select doc_id, layout_id, regexp_extract(line, '[A-Z][a-z]+') as predicted from con"),
+    "sho": (["cha", "pro"], f"""
+        select mh_id, case when p1.doc_id is null or p2.doc_id is null then 'skip_missing_layout' when {_match('p1.predicted', 'final_answer')} then 'fail_hop1_sufficient'
+                           when {_match('p2.predicted', 'final_answer')} then 'fail_hop2_sufficient' else 'pass' end as filter_result
+        from cha c left join pro p1 on p1.doc_id = c.doc_id and p1.layout_id = c.layout_id1 left join pro p2 on p2.doc_id = c.doc_id and p2.layout_id = c.layout_id2"""),
+    "ctx": (["lay"], _packed(1500)),
+    "ctx_whole": (["lay"], _packed(200_000)),
     "vis": (["lay"], """
-        select doc_id, list_slice(list_sort(list_distinct(list(page_id))), 1, 5) as pages from lay where modality != 'text' group by doc_id"""),
+        select doc_id, list_slice(list_sort(list_distinct(list(page_id))), 1, 5) as pages from lay
+        where modality != 'text' and (doc_id + page_id) % 4 != 3 group by doc_id"""),
     "syn": (["sha"], """
         select * from (select *, row_number() over (partition by doc_id order by num_layouts desc, cross_modal desc, canonical_name)::int as rank from sha where num_layouts >= 5) where rank <= 20"""),
     "synapp": (["syn", "app0"], """
-        select * from (select s.doc_id, s.canonical_name, s.num_layouts, s.rank, a.layout_id, a.modality, row_number() over (partition by s.doc_id, s.canonical_name order by a.layout_id) as k
+        select * from (select s.doc_id, s.canonical_name, s.aliases, s.num_layouts, s.rank, a.layout_id, a.modality, row_number() over (partition by s.doc_id, s.canonical_name order by a.layout_id) as k
                        from syn s join app0 a using (doc_id, canonical_name)) where k <= 10"""),
     "fac": (["synapp", "con"], """
         select * from (
             select *, count(*) over (partition by doc_id, entity) as num_facts, row_number() over (partition by doc_id, entity order by layout_id)::int as fact_no from (
                 select *, row_number() over (partition by doc_id, entity, data_points order by layout_id) as n from (
                     select s.doc_id, s.canonical_name as entity, s.layout_id, c.modality, list_sort(list_distinct(regexp_extract_all(c.content, '[a-z]{8,}'))) as data_points
-                    from synapp s join con c using (doc_id, layout_id) where contains(lower(c.content), s.canonical_name))) where n = 1 or len(data_points) = 0) where num_facts >= 3"""),
+                    from synapp s join con c using (doc_id, layout_id) where contains(lower(c.content), lower(s.canonical_name)) or len(list_filter(s.aliases, lambda a: contains(lower(c.content), lower(a)))) > 0)) where n = 1 or len(data_points) = 0) where num_facts >= 3"""),
 }
 
 
@@ -126,6 +144,7 @@ def sql(steps: list[str], select: str) -> str:
     return "with " + ",\n".join(f"{n} as materialized ({STEPS[n][1]})" for n in order) + f"\n{select}"
 
 
+_ITEMS = "(select coalesce(max(item_id), 0) + 1 from benchmark)"
 _TURN_KEY = "conv_id || '_' || (turn // 4)"
 _SENTENCES = "list_filter(string_split(text, '. '), lambda s: s != '')"
 ORACLES: dict[str, str] = {
@@ -136,12 +155,12 @@ ORACLES: dict[str, str] = {
     "normalize_entities": f"select name, {_norm('name')} as norm from (select distinct unnest(string_split(text, ' ')) as name from documents)",
     "content_words": sql(["lea"], f"select name, array_to_string({_words('name')}, '|') as words from (select distinct name from lea)"),
     "answer_matches": f"""
-        select doc_id, item_id, {_match('said', 'gold')} as matches from (select doc_id, doc_id % 40 as item_id, substr(text, 1, 5) as said from documents)
+        select doc_id, item_id, {_match('said', 'gold')} as matches from (select doc_id, doc_id % {_ITEMS} as item_id, text as said from documents)
         join (select item_id, string_split(text, ' ')[1] as gold from benchmark) using (item_id)""",
-    "leakage_guard": """
+    "leakage_guard": f"""
         select conv_id, turn, leak, score, not leak and length(text) >= 15 and score >= case when turn % 3 = 0 then 7.0 else 8.0 end as keep from (
             select c.*, contains(lower(c.text), lower(regexp_extract(b.text, '[A-Z][a-z]+'))) as leak, (length(c.text) % 11)::double as score
-            from conversations c join benchmark b on b.item_id = c.conv_id % 40 where role = 'user')""",
+            from conversations c join benchmark b on b.item_id = c.conv_id % {_ITEMS} where role = 'user')""",
     "response_parse": "select conv_id, turn, case when conv_id % 3 < 2 then role end as answer, case when conv_id % 3 < 2 then turn::varchar end as score from conversations",
     "caption_merge": sql(["lay"], """
         , given as (
@@ -158,7 +177,7 @@ ORACLES: dict[str, str] = {
     "file_roundtrip": "select doc_id, lang, n_chars, source from documents",
     "plural_groups": sql(["plu"], "select * from plu"),
     "shared_entities": sql(["sha"], """
-        select doc_id, canonical_name, array_to_string(aliases, '|') as aliases, 'group' as entity_types, num_layouts, array_to_string(modalities, '|') as modalities, cross_modal, cross_page, true as is_named_entity from sha"""),
+        select doc_id, canonical_name, array_to_string(aliases, '|') as aliases, 'group' as entity_types, num_layouts, array_to_string(modalities, '|') as modalities, cross_modal, cross_page, true as is_named_entity, position from sha"""),
     "alias_candidates": sql(["cand"], "select * from cand"),
     "alias_components": sql(["cand", "lea"], f"""
         , matched as (select * from cand where {_words('a')} = {_words('b')}),
@@ -173,20 +192,17 @@ ORACLES: dict[str, str] = {
     "text_redundancy": sql(["ato"], "select sh_id, doc_id, shared_entity, question_role, answer, layout_id, text_redundant from ato"),
     "bridge_pairs": sql(["pair"], "select mh_id, doc_id, shared_entity, sh_id1, sh_id2, hop_path, cross_modal, cross_page, final_answer, quality_score from pair"),
     "pair_dedup": sql(["cha"], "select mh_id, doc_id, layout_id1, layout_id2 from cha"),
-    "shortcut_verdict": sql(["cha", "con"], f"""
-        , probe as (select doc_id, layout_id, regexp_extract(line, '[A-Z][a-z]+') as predicted from con)
-        select mh_id, case when p1.doc_id is null or p2.doc_id is null then 'skip_missing_layout' when {_match('p1.predicted', 'final_answer')} then 'fail_hop1_sufficient'
-                           when {_match('p2.predicted', 'final_answer')} then 'fail_hop2_sufficient' else 'pass' end as filter_result
-        from cha c left join probe p1 on p1.doc_id = c.doc_id and p1.layout_id = c.layout_id1 left join probe p2 on p2.doc_id = c.doc_id and p2.layout_id = c.layout_id2"""),
-    "bridge_answer_dedup": sql(["cha"], """
+    "shortcut_verdict": sql(["sho"], "select mh_id, filter_result from sho"),
+    "bridge_answer_dedup": sql(["cha", "sho"], f"""
         select mh_id, shared_entity, final_answer, quality_score from (
-            select *, row_number() over (partition by doc_id, lower(shared_entity), lower(trim(final_answer)) order by quality_score desc, mh_id) as k from cha) where k = 1"""),
+            select *, row_number() over (partition by doc_id, shared_entity, trim(lower(final_answer), '{_W}') order by quality_score desc, mh_id) as k
+            from cha join sho using (mh_id) where filter_result = 'pass') where k = 1"""),
     "context_packing": sql(["ctx"], "select doc_id, layout_id, ord, length(chunk)::int as size from ctx"),
     "visual_pages": sql(["vis"], "select doc_id, array_to_string(pages, '|') as pages from vis"),
-    "modality_verdict": sql(["cha", "ctx", "vis", "lay"], """
+    "modality_verdict": sql(["cha", "ctx_whole", "vis", "lay"], """
         select mh_id, case when not cross_modal then 'skip_not_cross_modal'
-            when exists (select 1 from ctx x where x.doc_id = c.doc_id and contains(lower(x.chunk), lower(c.final_answer))) then 'fail_text_sufficient'
-            when exists (select 1 from lay l join vis v using (doc_id) where l.doc_id = c.doc_id and l.modality != 'text' and list_contains(v.pages, l.page_id) and contains(lower(l.line), lower(c.final_answer))) then 'fail_visual_sufficient'
+            when exists (select 1 from ctx_whole x where x.doc_id = c.doc_id and contains(lower(x.chunk), lower(c.final_answer))) then 'fail_text_only_sufficient'
+            when exists (select 1 from lay l join vis v using (doc_id) where l.doc_id = c.doc_id and l.modality != 'text' and list_contains(v.pages, l.page_id) and contains(lower(l.line), lower(c.final_answer))) then 'fail_visual_only_sufficient'
             else 'pass' end as filter_result from cha c"""),
     "final_review": """
         select doc_id, (case when quality is null then 5 else least(quality * 10, 10 - toxic * 5, least(n_chars // 100, 10)) end)::bigint as min_score,
@@ -194,33 +210,36 @@ ORACLES: dict[str, str] = {
     "verdict_summary": """
         select lang, count(*) as total, count(*) filter (quality = 1 and toxic = 0) as passed, round(avg((quality = 1 and toxic = 0)::int::double), 4) as pass_rate from labels join documents using (doc_id) group by lang""",
     "judge_replay": "select doc_id, doc_id % 3 = 0 or doc_id % 2 = 0 as open, doc_id % 3 != 0 and doc_id % 2 = 0 as closed from documents",
-    "synthesis_candidates": sql(["synapp"], "select doc_id, canonical_name, num_layouts, rank, string_agg(layout_id::varchar, '|' order by layout_id) as layouts from synapp group by all"),
+    "synthesis_candidates": sql(["synapp"], "select doc_id, canonical_name, num_layouts, rank, string_agg(layout_id::varchar, '|' order by layout_id) as layouts from synapp group by doc_id, canonical_name, num_layouts, rank"),
     "fact_dedup": sql(["fac"], "select doc_id, entity, fact_no, layout_id, num_facts, array_to_string(data_points, '|') as data_points from fac"),
     "pattern_required": sql(["fac"], """
         , valid as (select doc_id, entity from fac where fact_no % 2 = 1 group by all having count(*) + 1 >= 3)
-        select doc_id, entity, string_agg(fact_no::varchar, '|' order by fact_no) as required, count(*)::int as num_required, array_to_string(list_sort(list_distinct(list(modality))), '|') as modalities
+        select doc_id, entity, string_agg(fact_no::varchar, '|' order by fact_no) as required, (count(*) + 1)::int as num_required, array_to_string(list_sort(list_distinct(list(modality))), '|') as modalities
         from fac join valid using (doc_id, entity) where fact_no % 2 = 1 group by all"""),
     "leave_one_out": sql(["fac"], """
-        , marked as (select x.doc_id, x.entity, x.fact_no, exists (select 1 from fac y where y.doc_id = x.doc_id and y.entity = x.entity and y.fact_no != x.fact_no and list_has_all(y.data_points, x.data_points)) as needless from fac x)
+        , marked as (select x.doc_id, x.entity, x.fact_no, x.modality, exists (select 1 from fac y where y.doc_id = x.doc_id and y.entity = x.entity and y.fact_no != x.fact_no and list_has_all(y.data_points, x.data_points)) as needless from fac x)
         select doc_id, entity, coalesce(string_agg(fact_no::varchar, '|' order by fact_no) filter (not needless), '') as required, coalesce(string_agg(fact_no::varchar, '|' order by fact_no) filter (needless), '') as optional,
+               (count(*) filter (not needless))::int as num_required, 0::int as n_llm_failed, coalesce(array_to_string(list_sort(list_distinct(list(modality) filter (not needless))), '|'), '') as modalities,
                case when count(*) filter (not needless) < 3 then 'fail_insufficient_required_evidence' else 'pass' end as filter_result from marked group by all"""),
     "text_rag_verdict": sql(["fac", "lay"], f"""
-        , asked as (select doc_id, entity, list_distinct(flatten(list(data_points))) as points from fac where fact_no <= 2 group by all),
-        hits as (select a.doc_id, a.entity, trim(l.line, '{_W}') as chunk, row_number() over (partition by a.doc_id, a.entity order by l.layout_id) as k
-                 from asked a join lay l on l.doc_id = a.doc_id and trim(l.line, '{_W}') != '' and contains(lower(l.line), a.entity)),
-        top as (select doc_id, entity, string_agg(chunk, chr(10)) as context, count(*)::int as n from hits where k <= 3 group by all),
-        judged as (select doc_id, entity, coalesce(n, 0)::int as retrieved_n, len(list_filter(points, lambda p: not contains(coalesce(context, ''), p))) = 0 as sufficient from asked left join top using (doc_id, entity))
+        , asked as (select doc_id, entity, list_sort(list_distinct(flatten(list(data_points)))) as points from fac group by all),
+        chunks as (select doc_id, layout_id, trim(line, '{_W}') as chunk from lay where modality = 'text' and trim(line, '{_W}') != ''),
+        q as (select doc_id, entity, points, {_unit("entity || ' ' || array_to_string(points, ' ')")} as v from asked),
+        c as (select doc_id, layout_id, chunk, {_unit("chunk")} as v from chunks),
+        hits as (select q.doc_id, q.entity, c.chunk, row_number() over (partition by q.doc_id, q.entity order by list_dot_product(q.v, c.v) desc, c.layout_id) as k from q join c using (doc_id)),
+        top as (select doc_id, entity, string_agg(chunk, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by k) as context, count(*)::int as n from hits where k <= 20 group by all),
+        judged as (select doc_id, entity, coalesce(n, 0)::int as retrieved_n, context is not null and len(list_filter(points, lambda p: not contains(context, p))) = 0 as sufficient from asked left join top using (doc_id, entity))
         select *, case when sufficient then 'fail_text_rag_sufficient' else 'pass' end as filter_result from judged"""),
     "cosine_topk": """
         with u as (select vec_id, embedding::double[] as v from embeddings),
         n as (select vec_id, list_transform(v, lambda x: x / (sqrt(list_sum(list_transform(v, lambda y: y * y))) + 1e-9)) as v from u)
         select query_id, rank, chunk_id from (select q.vec_id as query_id, c.vec_id as chunk_id, row_number() over (partition by q.vec_id order by list_dot_product(q.v, c.v) desc, c.vec_id)::int as rank
-              from n q join n c on q.vec_id < 20 and c.vec_id >= 20) where rank <= 20""",
+              from n q join n c on q.vec_id % 50 = 0 and c.vec_id != q.vec_id) where rank <= 20""",
     "pair_answers_gt": f"""
         with keyed as (select conv_id as doc_id, turn, text, case when turn % 4 in (0, 2) then {_TURN_KEY} end as question_id from conversations where role = 'user'),
         truth as (select * from (select *, row_number() over (partition by doc_id, question_id order by turn desc) as k from keyed where question_id is not null) where k = 1),
         said as (select conv_id as doc_id, turn, {_TURN_KEY} as question_id, turn % 5 = 1 as single from conversations where role = 'assistant')
-        select s.doc_id, s.turn, s.question_id, coalesce(substr(t.text, 1, 12), '') as gt_answer,
+        select s.doc_id, s.turn, s.question_id, coalesce(case when t.turn % 4 = 0 then t.text else string_split(t.text, ' ')[-1] end, '') as gt_answer,
                case when single then 'single_hop' when t.turn % 4 = 0 then 'bridge_chain' when t.turn is not null then 'synthesis' else 'unknown' end as question_type,
                case t.turn % 6 when 0 then 'text_only' when 2 then 'multimodal' else 'unknown' end as modality_type,
                case when t.turn % 4 = 0 then 3 else 2 end::int as num_hops,
@@ -229,14 +248,16 @@ ORACLES: dict[str, str] = {
         from said s left join truth t using (doc_id, question_id)""",
     "enriched_reference": f"""
         with r as (select conv_id, turn, text, conv_id % 3 as kind, {_SENTENCES} as s from conversations where role = 'user'),
-        h as (select *, list_filter(list_transform(s, lambda x, i: case when trim(x, '{_W}') != '' and trim(substr(x, 1, 3), '{_W}') != '' then '  Hop ' || i || ': ' || trim(x, '{_W}') || ' -> ' || trim(substr(x, 1, 3), '{_W}') end), lambda x: x is not null) as hops,
+        h as (select *, list_filter(list_transform(s, lambda x, i: case when trim(x, '{_W}') != '' and trim(string_split(x, ' ')[-1], '{_W}') != '' then '  Hop ' || i || ': ' || trim(x, '{_W}') || ' -> ' || trim(string_split(x, ' ')[-1], '{_W}') end), lambda x: x is not null) as hops,
                      list_filter(list_transform(s, lambda x, i: case when trim(x, '{_W}') != '' then '  ' || i || '. ' || trim(x, '{_W}') end), lambda x: x is not null) as points from r)
-        select conv_id, turn, array_to_string(list_concat(['Final answer: ' || substr(text, 1, 10)],
-               case when kind = 0 and len(s) > 0 then list_concat(['', 'Reasoning chain:'], hops, ['', 'Bridge entities: ' || array_to_string(list_transform(s, lambda x: substr(x, 1, 2)), ', ')])
+        select conv_id, turn, array_to_string(list_concat(['Final answer: ' || text],
+               case when kind = 0 and len(s) > 0 then list_concat(['', 'Reasoning chain:'], hops, ['', 'Bridge entities: ' || array_to_string(list_transform(s, lambda x: string_split(x, ' ')[1]), ', ')])
                     when kind = 1 and len(s) > 0 then list_concat(['', 'Required evidence points:'], points) else [] end), chr(10)) as reference from h""",
-    "entity_recall": """
-        with g as (select item_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Z][a-z]+'), lambda x: lower(x))) as names from benchmark),
-        m as (select doc_id, d.doc_id % 40 as item_id, d.text, names, len(list_filter(names, lambda n: contains(lower(d.text), n)))::int as hits from documents d join g on g.item_id = d.doc_id % 40)
+    "entity_recall": f"""
+        with parts as (
+            select item_id, list_concat(regexp_extract_all(text, '[A-Z][a-z]+'), regexp_extract_all(text, '[(]([^)]+)[)]', 1), regexp_extract_all(text, '[0-9]+'), [string_split(text, ' ')[1]]) as names from benchmark),
+        g as (select item_id, list_filter(list_distinct(list_transform(names, lambda x: lower(trim(x, '{_W}')))), lambda x: x != '') as names from parts),
+        m as (select doc_id, item_id, d.text, names, len(list_filter(names, lambda n: contains(lower(d.text), n)))::int as hits from (select *, doc_id % {_ITEMS} as item_id from documents) d join g using (item_id))
         select doc_id, item_id, hits, len(names)::int as total, case when coalesce(text, '') = '' then 0.0 when len(names) > 0 then round(hits / len(names), 4) end as recall from m""",
     "step_coverage": f"""
         with q as (select conv_id, turn + 1 as turn, {_SENTENCES} as s from conversations where role = 'user'),
@@ -252,7 +273,7 @@ ORACLES: dict[str, str] = {
     "missing_metrics": "select doc_id % 10 as bucket, bool_or(doc_id % 4 = 0 or quality is null) as lacks_quality, bool_or(toxic is null) as lacks_toxic from labels group by 1",
     "incremental_skip": "select doc_id, lang from documents where doc_id not in (select doc_id from labels)",
     "benchmark_assembly": """
-        select doc_id, format('doc{}_mh_{:04d}', doc_id, doc_id) as question_id, 'bridge_chain' as question_type, substr(text, 1, 20) as answer from documents where doc_id % 2 = 0 and n_chars > 500
-        union all select doc_id, format('doc{}_syn_{:04d}', doc_id, doc_id), 'synthesis', substr(text, 1, 30) from documents where doc_id % 2 = 1 and n_chars > 900
-        union all select conv_id, format('doc{}_sh_{:04d}', conv_id, turn), 'single_hop', substr(text, 1, 10) from conversations where role = 'user'""",
+        select doc_id, format('doc{}_mh_{:04d}', doc_id, doc_id) as question_id, 'bridge_chain' as question_type, text as answer from documents where doc_id % 2 = 0 and n_chars > 500
+        union all select doc_id, format('doc{}_syn_{:04d}', doc_id, doc_id), 'synthesis', text from documents where doc_id % 2 = 1 and n_chars > 900
+        union all select conv_id, format('doc{}_sh_{:04d}', conv_id, turn), 'single_hop', text from conversations where role = 'user'""",
 }

@@ -5,6 +5,7 @@ The chains share their first steps; a step that a chain consumes more than once
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
 from quillmesh.operators import compose, evaluation, judge, linking, retrieval, synthesis, verdicts
-from quillmesh.sources import files, tables
+from quillmesh.sources import files
 from quillmesh.sources.tables import contents, layouts, read
 from quillmesh.storage import materialize, shared_dir
 
@@ -97,17 +98,22 @@ def content_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("name", F.array_join(F.array_sort(T.content_words(F.col("name"))), "|").alias("words"))
 
 
+def _items(spark: SparkSession, sf_dir: str) -> int:
+    """How many numbers the benchmark's items take, so that every item is asked about."""
+    return (read(spark, sf_dir, "benchmark").agg(F.max("item_id")).first()[0] or 0) + 1
+
+
 @query
 def answer_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold = read(spark, sf_dir, "benchmark").select("item_id", F.element_at(F.split("text", " "), 1).alias("gold"))
-    said = read(spark, sf_dir, "documents").select("doc_id", F.pmod("doc_id", F.lit(40)).alias("item_id"), F.substring("text", 1, 5).alias("said"))
+    said = read(spark, sf_dir, "documents").select("doc_id", F.pmod("doc_id", F.lit(_items(spark, sf_dir))).alias("item_id"), F.col("text").alias("said"))
     return said.join(gold, "item_id").select("doc_id", "item_id", T.answer_matches(F.col("said"), F.col("gold")).alias("matches"))
 
 
 @query
 def leakage_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = read(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract("text", "[A-Z][a-z]+", 0).alias("entity"))
-    asked = read(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", "text", F.pmod("conv_id", F.lit(40)).alias("item_id"))
+    asked = read(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", "text", F.pmod("conv_id", F.lit(_items(spark, sf_dir))).alias("item_id"))
     q = F.col("text")
     out = asked.join(names, "item_id").withColumn("leak", T.leaks(q, F.col("entity"))).withColumn("score", (F.length(q) % 11).cast("double"))
     modality = F.when(F.col("turn") % 3 == 0, "figure").otherwise("text")
@@ -146,12 +152,11 @@ def doc_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written as one folder of JSON per source, read back with the source out of the file's path."""
-    path = f"{shared_dir(spark)}/quillmesh/roundtrip-{abs(hash(sf_dir))}"
+    """A stage's rows written by group of documents and read back with the document's number."""
+    path = f"{shared_dir(spark)}/quillmesh/roundtrip-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "source")
-    docs.write.mode("overwrite").partitionBy("source").json(path)
-    back = spark.read.schema("doc_id long, lang string, n_chars long").json(f"{path}/source=*")
-    return back.select("doc_id", "lang", "n_chars", F.regexp_extract(F.col("_metadata.file_path"), "source=([^/]+)/", 1).alias("source"))
+    files.write_stage(docs, path)
+    return files.read_stage(spark, path, "lang string, n_chars long, source string").select("doc_id", "lang", "n_chars", "source")
 
 
 # Linking
@@ -166,7 +171,7 @@ def plural_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def shared_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared(spark, sf_dir)
-    return out.select("doc_id", "canonical_name", joined("aliases"), joined("entity_types"), "num_layouts", joined("modalities"), "cross_modal", "cross_page", "is_named_entity")
+    return out.select("doc_id", "canonical_name", joined("aliases"), joined("entity_types"), "num_layouts", joined("modalities"), "cross_modal", "cross_page", "is_named_entity", "position")
 
 
 @query
@@ -222,7 +227,7 @@ def shortcut_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bridge_answer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verdicts.dedup_answers(chains(spark, sf_dir)).select("mh_id", "shared_entity", "final_answer", "quality_score")
+    return verdicts.dedup_answers(verdicts.shortcuts(chains(spark, sf_dir), _probes(spark, sf_dir))).select("mh_id", "shared_entity", "final_answer", "quality_score")
 
 
 @query
@@ -231,15 +236,21 @@ def context_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "layout_id", "ord", F.length("chunk").alias("size"))
 
 
+def _images(rows: DataFrame) -> DataFrame:
+    """S5h: of four pages in turn one has no image."""
+    return rows.select("doc_id", "page_id").distinct().filter(F.pmod(F.col("doc_id") + F.col("page_id"), F.lit(4)) != 3)
+
+
 @query
 def visual_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verdicts.visual_pages(layouts(spark, sf_dir)).select("doc_id", joined("pages"))
+    rows = layouts(spark, sf_dir)
+    return verdicts.visual_pages(rows, existing=_images(rows)).select("doc_id", joined("pages"))
 
 
 @query
 def modality_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = layouts(spark, sf_dir)
-    out = verdicts.modality_verdicts(chains(spark, sf_dir), verdicts.packed_context(rows, cap=1500), rows, verdicts.visual_pages(rows))
+    rows = materialize(layouts(spark, sf_dir), "layouts")  # read by context, pages and probes
+    out = verdicts.modality_verdicts(chains(spark, sf_dir), verdicts.packed_context(rows), rows, verdicts.visual_pages(rows, existing=_images(rows)))
     return out.select("mh_id", "filter_result")
 
 
@@ -295,20 +306,23 @@ def pattern_required(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = verdicts.leave_one_out(chosen_facts(spark, sf_dir), ["doc_id", "entity"])
-    return out.select("doc_id", "entity", joined("required"), joined("optional"), "filter_result")
+    return out.select("doc_id", "entity", joined("required"), joined("optional"), "num_required", "n_llm_failed", joined("modalities"), "filter_result")
 
 
 @query
 def text_rag_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = chosen_facts(spark, sf_dir).filter("fact_no <= 2").groupBy("doc_id", "entity").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("data_points")))).alias("points"))
-    return synthesis.text_rag_verdicts(asked, retrieval.rag_chunks(layouts(spark, sf_dir))).select("doc_id", "entity", "retrieved_n", "sufficient", "filter_result")
+    """A question is its entity and all data points of its facts; the offline embedding counts letters."""
+    asked = chosen_facts(spark, sf_dir).groupBy("doc_id", "entity").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("data_points")))).alias("points"))
+    asked = materialize(asked.withColumn("question", F.concat_ws(" ", "entity", "points")), "asked")
+    chunks = materialize(retrieval.rag_chunks(layouts(spark, sf_dir)), "chunks")
+    return synthesis.text_rag_verdicts(asked, chunks, retrieval.letter_counts).select("doc_id", "entity", "retrieved_n", "sufficient", "filter_result")
 
 
 @query
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
-    asked = rows.filter("vec_id < 20").withColumnRenamed("vec_id", "query_id")
-    return retrieval.cosine_topk(asked, rows.filter("vec_id >= 20").withColumnRenamed("vec_id", "chunk_id")).select("query_id", "rank", "chunk_id")
+    asked = rows.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return retrieval.cosine_topk(asked, rows.withColumnRenamed("vec_id", "chunk_id"), skip_own=True).select("query_id", "rank", "chunk_id")
 
 
 # Evaluation
@@ -322,7 +336,7 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = rows.groupBy(F.col("conv_id").alias("doc_id"), "question_id").agg(F.max_by(F.struct("turn", "text"), "turn").alias("t"))
     turn = F.col("t.turn")
     return last.select(
-        "doc_id", "question_id", F.substring("t.text", 1, 12).alias("t_final_answer"), F.when(turn % 4 == 0, "bridge_chain").otherwise("synthesis").alias("t_question_type"),
+        "doc_id", "question_id", F.when(turn % 4 == 0, F.col("t.text")).alias("t_final_answer"), F.when(turn % 4 == 2, F.element_at(F.split("t.text", " "), -1)).alias("t_conclusion"), F.when(turn % 4 == 0, "bridge_chain").otherwise("synthesis").alias("t_question_type"),
         F.when(turn % 6 == 0, F.array(F.lit("text_only"))).when(turn % 6 == 2, F.array(F.lit("figure"), F.lit("text"))).otherwise(F.array().cast("array<string>")).alias("t_modalities"),
         F.when(turn % 4 == 0, F.lit(3)).alias("t_num_hops"), F.when(turn % 4 == 0, F.lit("text→figure")).alias("t_hop_path"),
     )
@@ -345,15 +359,20 @@ def _sentences(c: F.Column) -> F.Column:
 def enriched_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").filter("role = 'user'").withColumn("s", _sentences(F.col("text")))
     kind = F.when(F.col("conv_id") % 3 == 0, "bridge_chain").when(F.col("conv_id") % 3 == 1, "synthesis").otherwise("single_hop")
-    trace = F.transform("s", lambda x, i: F.struct((i + 1).alias("hop"), x.alias("sub_question"), F.substring(x, 1, 3).alias("result")))
-    out = evaluation.enriched_reference(F.substring("text", 1, 10), kind, trace, F.transform("s", lambda x: F.substring(x, 1, 2)), F.col("s"))
+    trace = F.transform("s", lambda x, i: F.struct((i + 1).alias("hop"), x.alias("sub_question"), F.element_at(F.split(x, " "), -1).alias("result")))
+    out = evaluation.enriched_reference(F.col("text"), kind, trace, F.transform("s", lambda x: F.element_at(F.split(x, " "), 1)), F.col("s"))
     return rows.select("conv_id", "turn", out.alias("reference"))
 
 
 @query
 def entity_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = read(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0)).alias("names"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.pmod("doc_id", F.lit(40)).alias("item_id"))
+    """An item's names are bridge entities, its words in brackets hops' results, its numbers data points, its first word the answer."""
+    found = lambda p, n: F.regexp_extract_all("text", F.lit(p), F.lit(n))
+    trace = F.transform(found("[(]([^)]+)[)]", 1), lambda r: F.struct(r.alias("result")))
+    points = F.transform(found("[0-9]+", 0), lambda r: F.struct(F.array(r, F.upper(r)).alias("data_points")))
+    names = evaluation.benchmark_entities(found("[A-Z][a-z]+", 0), trace, points, F.element_at(F.split("text", " "), 1))
+    gold = read(spark, sf_dir, "benchmark").select("item_id", names.alias("names"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.pmod("doc_id", F.lit(_items(spark, sf_dir))).alias("item_id"))
     hits, total, recall = evaluation.entity_recall(F.col("text"), F.col("names"))
     return docs.join(gold, "item_id").select("doc_id", "item_id", hits.alias("hits"), total.alias("total"), recall.alias("recall"))
 
@@ -401,11 +420,9 @@ def incremental_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def benchmark_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, turns = read(spark, sf_dir, "documents"), read(spark, sf_dir, "conversations")
-    bridge = docs.filter("doc_id % 2 = 0").select("doc_id", F.format_string("doc%d_mh_%04d", "doc_id", "doc_id").alias("mh_id"), F.substring("text", 1, 20).alias("final_answer"), F.when(F.col("n_chars") > 500, "pass").otherwise("fail").alias("filter_result"))
-    synth = docs.filter("doc_id % 2 = 1").select("doc_id", F.format_string("doc%d_syn_%04d", "doc_id", "doc_id").alias("sq_id"), F.substring("text", 1, 30).alias("conclusion"), F.when(F.col("n_chars") > 900, "pass").otherwise("fail").alias("filter_result"))
-    single = turns.filter("role = 'user'").select(F.col("conv_id").alias("doc_id"), F.format_string("doc%d_sh_%04d", "conv_id", "turn").alias("sh_id"), F.substring("text", 1, 10).alias("final_answer"))
+    bridge = docs.filter("doc_id % 2 = 0").select("doc_id", F.format_string("doc%d_mh_%04d", "doc_id", "doc_id").alias("mh_id"), F.col("text").alias("final_answer"), F.when(F.col("n_chars") > 500, "pass").otherwise("fail").alias("filter_result"))
+    synth = docs.filter("doc_id % 2 = 1").select("doc_id", F.format_string("doc%d_syn_%04d", "doc_id", "doc_id").alias("sq_id"), F.col("text").alias("conclusion"), F.when(F.col("n_chars") > 900, "pass").otherwise("fail").alias("filter_result"))
+    single = turns.filter("role = 'user'").select(F.col("conv_id").alias("doc_id"), F.format_string("doc%d_sh_%04d", "conv_id", "turn").alias("sh_id"), F.col("text").alias("final_answer"))
     out = evaluation.assemble(bridge, synth, single)
     return out.select("doc_id", "question_id", "question_type", F.coalesce(T.truthy(F.col("final_answer")), F.col("conclusion"), F.lit("")).alias("answer"))
 
-
-__all__ = ["QUERIES", "files", "tables"]

@@ -2,6 +2,8 @@
 
 import base64
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,13 +112,47 @@ def test_fact_dedup(spark):
 def test_pattern_facts(spark):
     known = spark.createDataFrame([(1, "e", 1, 0, "text"), (1, "e", 2, 1, "figure")], "doc_id long, entity string, fact_no int, layout_id int, modality string")
     patterns = spark.createDataFrame([(1, "e", True, [1, 1, 1]), (1, "e", True, [1, 2, 9]), (1, "e", True, [1, 2])], "doc_id long, entity string, valid boolean, required_ids array<int>")
-    assert sorted(r["num_required"] for r in synthesis.pattern_facts(patterns, known).collect()) == [1, 2]
+    assert sorted(r["num_required"] for r in synthesis.pattern_facts(patterns, known).collect()) == [3, 3]  # as asked for, with repeats and unknown ids
+    assert sorted(len(r["required"]) for r in synthesis.pattern_facts(patterns, known).collect()) == [1, 2]
 
 
 def test_leave_one_out(spark):
-    rows = [(1, 1, ["a"]), (1, 2, ["b"]), (1, 3, ["c"]), (2, 1, ["a"]), (2, 2, ["a", "b"]), (2, 3, ["c"]), (2, 4, ["c"])]
-    got = {r["k"]: (r["required"], r["filter_result"]) for r in verdicts.leave_one_out(spark.createDataFrame(rows, "k int, fact_no int, data_points array<string>"), ["k"]).collect()}
-    assert got[1] == ([1, 2, 3], "pass") and got[2] == ([2], "fail_insufficient_required_evidence")
+    rows = [(1, 1, ["a"]), (1, 2, ["b"]), (1, 3, ["c"]), (2, 1, ["a"]), (2, 2, ["a", "b"]), (2, 3, ["c"]), (2, 4, ["c"]), (3, 1, None), (3, 2, ["a"]), (3, 3, ["b"])]
+    points = spark.createDataFrame(rows, "k int, fact_no int, data_points array<string>").withColumn("modality", F.when(F.col("fact_no") == 2, "table").otherwise("text"))
+    got = {r["k"]: (r["required"], r["num_required"], r["n_llm_failed"], r["modalities"], r["filter_result"]) for r in verdicts.leave_one_out(points, ["k"]).collect()}
+    assert got[1] == ([1, 2, 3], 3, 0, ["table", "text"], "pass") and got[2] == ([2], 1, 0, ["table"], "fail_insufficient_required_evidence")
+    assert got[3] == ([1, 2, 3], 3, 1, ["table", "text"], "pass")  # what the judge failed on counts as required
+
+
+def test_answer_dedup(spark):
+    """Of what passed one for each entity as written and answer in its bare form; the best, then the first."""
+    rows = [("a", "Alpha", "Yes", 8.0, "pass"), ("b", "Alpha", " yes\t", 9.0, "pass"), ("c", "alpha", "yes", 7.0, "pass"), ("d", "Alpha", "no", 9.0, "fail_hop1_sufficient"), ("e", "Alpha", "YES\u00a0", 9.0, "pass")]
+    df = spark.createDataFrame([(1, *r) for r in rows], "doc_id long, mh_id string, shared_entity string, final_answer string, quality_score double, filter_result string")
+    assert sorted(r["mh_id"] for r in verdicts.dedup_answers(df).collect()) == ["b", "c"]
+
+
+def test_visual_pages_need_their_images(spark):
+    rows = spark.createDataFrame([(1, p, "figure") for p in range(9)] + [(1, 20, "text"), (2, 0, "table")], "doc_id long, page_id int, modality string")
+    there = spark.createDataFrame([(1, p) for p in (1, 3, 4, 5, 6, 7, 20)], "doc_id long, page_id int")
+    assert {r["doc_id"]: r["pages"] for r in verdicts.visual_pages(rows, existing=there).collect()} == {1: [1, 3, 4, 5, 6]}
+    assert {r["doc_id"]: r["pages"] for r in verdicts.visual_pages(rows).collect()} == {1: [0, 1, 2, 3, 4], 2: [0]}
+
+
+def test_text_rag(spark):
+    """Evidence in whichever of the nearest chunks; pictures' text is no chunk; a document without chunks suffices for nothing."""
+    rows = [(1, k, "text", f"chunk {k} about alpha {'x' * k}", None) for k in range(30)] + [(1, 90, "figure", None, "needle")]
+    layouts = spark.createDataFrame(rows, "doc_id long, layout_id int, modality string, text string, ocr_text string")
+    asked = spark.createDataFrame([(1, "alpha", "chunk about alpha", ["chunk 3 "]), (1, "beta", "chunk about alpha", ["needle"]), (2, "gamma", "q", [])], "doc_id long, entity string, question string, points array<string>")
+    got = {r["entity"]: (r["retrieved_n"], r["filter_result"]) for r in synthesis.text_rag_verdicts(asked, retrieval.rag_chunks(layouts), retrieval.letter_counts).collect()}
+    assert got == {"alpha": (20, "fail_text_rag_sufficient"), "beta": (20, "pass"), "gamma": (0, "pass")}
+
+
+def test_truth_fallbacks(spark):
+    kinds = "doc_id int, question_id string, response string, gt_answer string, question_type string, modality_type string, num_hops int, assigned_type string, hop_path string"
+    said = spark.createDataFrame([(1, k, "r", None, None, None, None, None, "row") for k in "abcde"], kinds)
+    truth = spark.createDataFrame([(1, "a", "final", "other", "plain", "bridge_chain", None, 4, None, "gt"), (1, "b", None, "conclusion", "plain", "synthesis", None, 5, "own", None), (1, "c", None, "", "plain", None, 3, None, None, None), (1, "d", "", "conclusion", None, None, None, None, None, None)], "doc_id int, question_id string, t_final_answer string, t_conclusion string, t_answer string, t_question_type string, t_num_hops int, t_num_sources int, t_assigned_type string, t_hop_path string")
+    got = {r["question_id"]: (r["gt_answer"], r["assigned_type"], r["num_hops"], r["hop_path"]) for r in evaluation.pair_with_truth(said, truth).collect()}
+    assert got == {"a": ("final", "bridge_4hop", 4, "gt"), "b": ("conclusion", "own", 5, "row"), "c": ("plain", "unknown", 3, "row"), "d": ("", "unknown", 2, "row"), "e": ("", "unknown", 2, "row")}
 
 
 def test_cosine(spark):
@@ -128,6 +164,24 @@ def test_cosine(spark):
     assert on.count() == 1
 
 
+def test_cosine_in_blocks(spark, monkeypatch):
+    """Every block size gives the plain result, ties by chunk; a query isn't its own chunk; null vectors take no part."""
+    rng = random.Random(3)
+    rows = [(k, [rng.choice([0.0, 0.5, 1.0, -2.0]) for _ in range(5)]) for k in range(120)] + [(200, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    unit = lambda v: (lambda n: [x / (n + 1e-9) for x in v])(math.sqrt(sum(x * x for x in v)))
+    known = {k: unit(v) for k, v in rows if v}
+    want = {(q, n + 1, c) for q in known if q % 10 == 0 for n, (_, c) in enumerate(sorted((-sum(a * b for a, b in zip(known[q], known[c], strict=True)), c) for c in known if c != q)[:7])}
+    for blocks in ((2048, 16384), (5, 9)):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", blocks[0])
+        monkeypatch.setattr(retrieval, "CHUNK_BLOCK", blocks[1])
+        got = retrieval.cosine_topk(df.filter("id % 10 = 0").withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "chunk_id"), 7, skip_own=True).collect()
+        assert {(r["query_id"], r["rank"], r["chunk_id"]) for r in got} == want
+        two = lambda c: df.withColumn("doc_id", F.pmod("id", F.lit(2))).withColumnRenamed("id", c)
+        got = retrieval.cosine_topk(two("query_id").filter("query_id % 10 < 2"), two("chunk_id"), 3, on=["doc_id"], skip_own=True).collect()
+        assert len(got) == 24 * 3 and all(r["query_id"] % 2 == r["chunk_id"] % 2 for r in got)
+
+
 def test_modality(spark):
     for given, want in (([], "unknown"), (["text_only"], "text_only"), (["figure", "figure"], "figure"), (["text", "table"], "multimodal"), ([None], "own"), (None, "unknown")):
         assert one(spark, T.derive_modality(F.col("m"), F.lit("own")), m=(given, "array<string>")) == want
@@ -196,6 +250,16 @@ def test_files(spark, tmp_path):
     (tmp_path / "s").mkdir()
     (tmp_path / "s/doc_7.json").write_text(json.dumps({"results": [{"question_id": "q", "response": "r"}]}))
     (tmp_path / "s/cost_doc_7.json").write_text("{}")
+    (tmp_path / "s/sub").mkdir()
+    (tmp_path / "s/sub/doc_8.json").write_text(json.dumps({"results": [{"question_id": "not read"}]}))  # the folder itself holds answers
+    (tmp_path / "t/alpha").mkdir(parents=True)
+    (tmp_path / "t/beta").mkdir()
+    (tmp_path / "t/gamma").mkdir()
+    (tmp_path / "t/alpha/cost_doc_1.json").write_text("{}")
+    for folder in ("beta", "gamma"):  # the first by name that holds one
+        (tmp_path / f"t/{folder}/doc_3.json").write_text(json.dumps({"results": [{"question_id": folder}]}))
+    assert [r["question_id"] for r in files.answers(spark, str(tmp_path / "t"), "sys").collect()] == ["beta"]
+    assert files.answers(spark, str(tmp_path / "nowhere"), "sys").count() == 0
     assert [(r["system"], r["doc_id"], r["question_id"]) for r in files.answers(spark, str(tmp_path / "s"), "sys").collect()] == [("sys", 7, "q")]
     (tmp_path / "b.json").write_text(json.dumps([{"doc_id": 1, "mh_id": "", "sq_id": "k", "question": "old"}, {"doc_id": 1, "sq_id": "k", "question": "new"}, {"doc_id": 1, "question": "no key"}]))
     assert [(r["question_id"], r["question"]) for r in files.benchmark(spark, str(tmp_path / "b.json")).collect()] == [("k", "new")]
@@ -203,7 +267,18 @@ def test_files(spark, tmp_path):
     assert sorted(r[0] for r in files.doc_ids(spark, str(tmp_path / "ids.txt")).collect()) == [3, 4]
     files.write_stage(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id int, x string"), str(tmp_path / "stage"))
     files.write_stage(spark.createDataFrame([(2, "c")], "doc_id int, x string"), str(tmp_path / "stage"))
-    assert sorted((r["doc_id"], r["x"]) for r in spark.read.json(str(tmp_path / "stage")).collect()) == [(1, "a"), (2, "c")]
+    assert sorted((r["doc_id"], r["x"]) for r in files.read_stage(spark, str(tmp_path / "stage"), "x string", "int").collect()) == [(1, "a"), (2, "c")]
+    files.write_stage(spark.createDataFrame([(5000, "far")], "doc_id int, x string"), str(tmp_path / "stage"))
+    assert files.read_stage(spark, str(tmp_path / "stage"), "x string", "int").count() == 3
+    assert files.write_documents(spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (7, 1, None)], "doc_id int, n int, x string"), str(tmp_path / "json"), "doc{}_t.json", ["n"]) == 2
+    assert json.loads((tmp_path / "json/doc1_t.json").read_text()) == [{"n": 1, "x": "a"}, {"n": 2, "x": "b"}] and json.loads((tmp_path / "json/doc7_t.json").read_text()) == [{"n": 1, "x": None}]
+    files.write_corpus(spark.createDataFrame([(1, "a.pdf")], "doc_id int, doc_name string"), str(tmp_path / "c"))
+    files.write_corpus(spark.read.json(str(tmp_path / "c")).withColumn("doc_name", F.lit("b.pdf")), str(tmp_path / "c"))
+    assert [r["doc_name"] for r in spark.read.json(str(tmp_path / "c")).collect()] == ["b.pdf"] and len(list(tmp_path.glob("c*"))) == 2
+    there = files.existing_pages(rows, files.images(spark, str(tmp_path / "img")))
+    assert [tuple(r) for r in there.collect()] == [(1, 2)]
+    five = spark.range(10).select(F.col("id").alias("doc_id"))
+    assert [files.selected(five, **k).count() for k in ({"one": 3}, {"start": 2, "end": 5}, {"start": 4}, {"some": [1, 99]}, {})] == [1, 3, 6, 1, 10]
     kept, rest = files.split_by_verdict(spark.createDataFrame([("pass",), ("fail",), (None,)], "filter_result string"))
     assert (kept.count(), rest.count()) == (1, 2)
     (tmp_path / "res/alpha").mkdir(parents=True)
