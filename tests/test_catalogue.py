@@ -34,3 +34,15 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_core_stands_without_the_optional_subpackage(monkeypatch):
+    """Whether its folder is gone or something it needs is missing: the other queries load."""
+    import sys
+
+    import __spark_entry__
+
+    for name in [n for n in sys.modules if n.startswith("quillmesh.llm") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "quillmesh.llm", None)
+    assert set(__spark_entry__.queries()) == set(QUERIES) and set(__spark_entry__.oracle_sql()) == set(ORACLES)
