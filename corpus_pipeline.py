@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm import langid, linededup, packing, simhash
 from quillmesh.llm.queries import CAPACITY, SEPARATOR, word_spec
-from quillmesh.storage import materialize
+from quillmesh.storage import drop_since, materialize, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +46,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, name)
+            drop_since(spark, mark)  # a stage's own tables and its input, once its output is written
     return docs
