@@ -47,6 +47,8 @@ def options(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--answers", help="folder of the systems' answers, for evaluate")
     p.add_argument("--systems", nargs="*", default=[])
     p.add_argument("--skip-step-coverage", action="store_true")
+    p.add_argument("--fill-missing", action="store_true", help="score again what an earlier run left without a metric")
+    p.add_argument("--reasons", action="store_true", help="ask the judge why")
     return p.parse_args(argv)
 
 
@@ -70,14 +72,21 @@ def evaluate(spark: SparkSession, o: argparse.Namespace, judge) -> DataFrame:
         said = one if said is None else said.unionByName(one)
     said = said.join(known.select("doc_id").distinct(), "doc_id", "left_semi")
     cached = None if o.force else files.cached_metrics(spark, f"{o.work}/evaluate")
+    key, scores = ["system", "doc_id", "question_id"], ["step_coverage", "entity_recall"]
     if cached is not None:
-        said = evaluation.not_yet_done(said, cached, ["system", "doc_id", "question_id"])
+        whole = F.lit(True) if not o.fill_missing else F.col("step_coverage").isNotNull() & F.col("entity_recall").isNotNull()
+        said = evaluation.not_yet_done(said, cached.filter(whole), key)
     paired = evaluation.pair_with_truth(said, known.drop("t_steps", "t_names")).join(extra, ["doc_id", "question_id"], "left")
     _, _, recall = evaluation.entity_recall(F.col("retrieved_context"), F.coalesce("names", F.array().cast("array<string>")))
     scored = paired.withColumn("entity_recall", recall).withColumn("has_retrieved_context", truthy(F.col("retrieved_context")).isNotNull())
     scored = scored.withColumn("step_coverage", F.lit(None).cast("double")) if o.skip_step_coverage else stages.coverage(scored, judge)
     out = scored.select("system", "doc_id", "question_id", "question_type", "assigned_type", "modality_type", "hop_path", "num_hops", "query", "gt_answer", "response", "has_retrieved_context", "step_coverage", "entity_recall")
-    return out if cached is None else out.unionByName(cached)
+    if o.reasons:
+        out = stages.reasons(out, scores, judge)
+    if cached is None:
+        return out
+    out = stages.materialize(out, "fresh")
+    return evaluation.fill_missing(cached, out, key, scores).unionByName(evaluation.not_yet_done(out, cached, key), allowMissingColumns=True)
 
 
 def run(spark: SparkSession, argv: list[str]) -> DataFrame:
@@ -88,7 +97,9 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame:
     if o.stage == "evaluate":
         out = stages.materialize(evaluate(spark, o, judge), "metrics")
         dims = ["question_type", "modality_type", "hop_path"]
-        files.write_metrics(out, evaluation.summary(out, ["step_coverage", "entity_recall"], dims), f"{o.work}/evaluate")
+        summary = stages.materialize(evaluation.summary(out, ["step_coverage", "entity_recall"], dims), "summary")
+        files.write_metrics(out, summary, f"{o.work}/evaluate")
+        print(*files.report(summary), sep="\n")
         return files.cached_metrics(spark, f"{o.work}/evaluate")
     base = None
     if o.corpus:

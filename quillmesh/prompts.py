@@ -29,6 +29,7 @@ TEMPLATES = {
     "text_rag": "These are the {k} text chunks nearest to the question. Does the conclusion follow from them alone?\nQuestion: {question}\nConclusion: {conclusion}\n\n{chunks}\n\n" + _JSON + '{"sufficient": false, "missing": "..."}',
     "synthesis_score": "Score from 0 to 10 each.\nQuestion: {question}\nConclusion: {conclusion}\n{evidence}\n" + _JSON + '{"question_clarity": 0, "conclusion_quality": 0, "multi_source_necessity": 0}',
     "step_coverage": "Which of these steps does the response cover?\nQuestion: {question}\nResponse: {response}\n{steps}\n" + _JSON + '{"covered": [true, false]}',
+    "reason": "In one or two sentences, why did the response get these scores?\nQuestion: {question}\nTruth: {truth}\nResponse: {response}\nScores: {scores}",
 }
 #: What a question is asked for, by its role and whether its layout is a picture.
 ROLES = {

@@ -248,6 +248,13 @@ def validate(rows: DataFrame, layouts: DataFrame, backend, embed=retrieval.lette
     return out.join(scored.select("sq_id", F.col("verdict").alias("quality_scores"), low.alias("quality_score")), "sq_id", "left")
 
 
+def reasons(scored: DataFrame, metrics: list[str], backend) -> DataFrame:
+    """Scored answers with the judge's words on why; where it failed, a note that says so."""
+    marks = F.concat_ws(", ", *[F.concat(F.lit(f"{m}: "), F.coalesce(F.col(m).cast("string"), F.lit("none"))) for m in metrics])
+    told = tell(scored, "reason", backend, "reason", question=F.col("query"), truth=T.clip(F.col("gt_answer"), 2500), response=T.clip(F.col("response"), 2500), scores=marks)
+    return told.withColumn("reason", F.coalesce(T.truthy(F.col("reason")), F.lit("no reason: the judge failed")))
+
+
 def coverage(paired: DataFrame, backend) -> DataFrame:
     """Paired answers with step_coverage. paired: question_id, question_type, query, response, steps; a failed judge: null."""
     open_ = (T.text_or_empty(F.col("response")) != "") & (F.col("question_type") != "single_hop") & (F.size("steps") > 0)

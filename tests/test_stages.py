@@ -184,6 +184,13 @@ def test_command_line(spark, tmp_path, monkeypatch):
     for _ in range(2):
         (row,) = at("evaluate", *more).collect()
         assert row["step_coverage"] == 0.5 and row["gt_answer"] == "x" and row["assigned_type"] == "bridge_2hop" and row["entity_recall"] == 0.5
+    # a metric that an earlier run left out is filled in, and reasons come with it
+    (row,) = at("evaluate", *more, "--force", "--skip-step-coverage").collect()
+    assert row["step_coverage"] is None
+    (row,) = at("evaluate", *more, "--fill-missing").collect()
+    assert row["step_coverage"] == 0.5 and row["entity_recall"] == 0.5
+    (row,) = at("evaluate", *more, "--force", "--reasons").collect()
+    assert row["reason"] == "no reason: the judge failed"
     summary = spark.read.json(str(tmp_path / "w/evaluate/summary"))
     assert any(line.split()[0] == "overall" for line in files.report(summary.withColumn("key", F.coalesce("key", F.lit("")))))
 
