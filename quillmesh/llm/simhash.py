@@ -179,6 +179,7 @@ def _agree(total: int, both: np.ndarray, bits: list[int], most: int) -> np.ndarr
 
 def plan(total: int, both: np.ndarray, radius: int, most_parts: int = 8) -> Plan:
     """(bits, threshold) of each part in use, of the least estimated cost."""
+    total = max(total, 1)  # without fingerprints all plans would cost nothing, those of millions of signatures too
     best: tuple[float, list] = (float("inf"), [])
     for parts in range(1, min(most_parts, radius + 1) + 1):
         groups = _groups(total, both, parts)

@@ -90,6 +90,16 @@ def test_links_lose_nothing(spark, radius):
     assert [find(i) for i in range(len(fps))] == want
 
 
+@pytest.mark.parametrize("total", [0, 1, 50])
+def test_plans_of_few_fingerprints_are_small(total):
+    """Where nothing is to be searched no plan of millions of signatures may come out."""
+    both = np.full((64, 64), total // 4, np.int64)
+    np.fill_diagonal(both, total // 2)
+    for radius in (0, 4, 10):
+        chosen = simhash.plan(total, both, radius)
+        assert sum(t + 1 for _, t in chosen) == radius + 1 and all(0 <= t <= 2 for _, t in chosen)
+
+
 def test_dense_and_large_groups():
     """A group in which all link gives few rows, and one beyond the size of a table is split on the bits left."""
     centre = 0x123456789ABCDEF0
