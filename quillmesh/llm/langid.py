@@ -69,19 +69,33 @@ def _grams(words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.nda
     return [g[keep] for g in grams], contexts, word[keep]
 
 
-def _merged(parts: list[tuple], langs: int, fill: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of all languages and a row of values for each; the last row is for keys that aren't there."""
-    keys = np.unique(np.concatenate([p[0] for p in parts]))
-    values = np.full((len(keys) + 1, langs), fill, np.float64)
-    for lang, (own, value) in enumerate(parts):
-        values[np.searchsorted(keys, own), lang] = value
-    return keys, values
+class _Table:
+    """Sorted keys of all languages and a row of values for each; the last row is for keys that aren't there.
 
+    Hashes are even, so their top bits say where in the array to begin; a few steps from there find a key or that it is missing.
+    """
 
-def _at(table: tuple[np.ndarray, np.ndarray], wanted: np.ndarray) -> np.ndarray:
-    keys, values = table
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return values[np.where(keys[at] == wanted, at, len(keys))]
+    def __init__(self, parts: list[tuple], langs: int, fill: float):
+        self.keys = np.unique(np.concatenate([p[0] for p in parts]))
+        self.values = np.full((len(self.keys) + 1, langs), fill, np.float64)
+        for lang, (own, value) in enumerate(parts):
+            self.values[np.searchsorted(self.keys, own), lang] = value
+        bits = min(len(self.keys).bit_length() + 1, 24)
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.padded = np.append(self.keys, np.uint64(0))
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        none = len(self.keys)
+        at = self.first[(wanted >> self.shift).astype(np.int64)]
+        row, left = np.full(len(wanted), none), np.arange(len(wanted))
+        while len(left):
+            key, asked = self.padded[at], wanted[left]
+            hit = (key == asked) & (at < none)
+            row[left[hit]] = at[hit]
+            on = (key < asked) & (at < none)
+            left, at = left[on], at[on] + 1
+        return self.values[row]
 
 
 class Models:
@@ -114,15 +128,15 @@ class Models:
                 shares[k].append((keys, np.maximum(n - cut, 0) / total[of]))
                 passed[k].append((contexts_of, np.bincount(of, np.minimum(n, cut), len(contexts_of)) / total))
             self.floor[lang] = 1 / (len(np.unique(grams[0])) + 1000)
-        self.shares = [_merged(x, len(self.langs), 0.0) for x in shares]
-        self.passed = [_merged(x, len(self.langs), 1.0) for x in passed]
+        self.shares = [_Table(x, len(self.langs), 0.0) for x in shares]
+        self.passed = [_Table(x, len(self.langs), 1.0) for x in passed]
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log-probability of each word in each language, and its characters with the end mark."""
         grams, contexts, word = _grams(words)
         p = np.broadcast_to(self.floor, (len(word), len(self.langs)))
         for k in range(ORDER):
-            p = np.where((grams[k] != 0)[:, None], _at(self.shares[k], grams[k]) + _at(self.passed[k], contexts[k]) * p, p)
+            p = np.where((grams[k] != 0)[:, None], self.shares[k](grams[k]) + self.passed[k](contexts[k]) * p, p)
         logs = np.log(p)
         sums = [np.bincount(word, logs[:, j], len(words)) for j in range(len(self.langs))]
         return np.stack(sums, 1), np.bincount(word, minlength=len(words)).astype(np.float64)
@@ -157,7 +171,7 @@ class Judge:
     def _learn(self, tokens: list[bytes]) -> None:
         if len(self.kept) + len(tokens) > self.most:
             self.kept.clear()
-        runs = [letters(t.decode("utf-8", "replace")) for t in tokens]
+        runs = [[t.decode("ascii")] if t.isalpha() else letters(t.decode("utf-8", "replace")) for t in tokens]  # ASCII letters are lower-cased already
         words = list(dict.fromkeys(r for some in runs for r in some))
         first = len(self.kept)
         while len(self.sums) < first + len(tokens):
@@ -184,11 +198,14 @@ class Judge:
             tokens = part.translate(_PLAIN).split()
             for at in range(0, len(tokens), 50_000):
                 some = tokens[at : at + 50_000]
-                if new := list(set(some).difference(self.kept)):
-                    self._learn(new)
-                    if rest := list(set(some).difference(self.kept)):  # the kept ones were cleared
+                try:
+                    numbers = np.fromiter(map(self.kept.__getitem__, some), np.int64, len(some))
+                except KeyError:  # a long text, or the kept ones were cleared
+                    self._learn(list(set(some).difference(self.kept)))
+                    if rest := list(set(some).difference(self.kept)):
                         self._learn(rest)
-                out += self.sums[np.fromiter(map(self.kept.__getitem__, some), np.int64, len(some))].sum(0)
+                    numbers = np.fromiter(map(self.kept.__getitem__, some), np.int64, len(some))
+                out += self.sums[numbers].sum(0)
         return out
 
     def __call__(self, text: str | None) -> tuple[str, float, float | None, bool]:

@@ -179,7 +179,7 @@ def _prefix(models, word):
     grams, contexts, _ = langid._grams([word])
     p = np.broadcast_to(models.floor, (len(word) + 1, 2))
     for k in range(langid.ORDER):
-        p = np.where((grams[k] != 0)[:, None], langid._at(models.shares[k], grams[k]) + langid._at(models.passed[k], contexts[k]) * p, p)
+        p = np.where((grams[k] != 0)[:, None], models.shares[k](grams[k]) + models.passed[k](contexts[k]) * p, p)
     return np.log(p)[:-1].sum(0)
 
 
