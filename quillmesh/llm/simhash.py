@@ -226,19 +226,46 @@ def probes(nodes: DataFrame, plans: dict[int, Plan]) -> DataFrame:
 
 
 class _Bucket:
-    """Finds links among fingerprints x that are within the radius and, where there is a y, whose y are within `far`."""
+    """Finds links among fingerprints x that are within the radius and, where there is a y, whose y are within `far`.
+
+    Only links that join what isn't joined yet come out, so a group of n gives n - 1 at most, in however many parts its members meet.
+    """
 
     def __init__(self, x: np.ndarray, y: np.ndarray | None, radius: int, far: int, cells: int = 1 << 21):
         self.x, self.y, self.radius, self.far, self.cells = x, y, radius, far, cells
+        self.parent = np.arange(len(x))
 
     def _close(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.bitwise_count(self.y[a] ^ self.y[b]) <= self.far
 
+    def _roots(self, some: np.ndarray) -> np.ndarray:
+        roots = self.parent[some]
+        while not np.array_equal(up := self.parent[roots], roots):
+            roots = up
+        self.parent[some] = roots
+        return roots
+
+    def _joining(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of links those that join, which then are joined."""
+        apart = self._roots(a) != self._roots(b)
+        a, b = a[apart], b[apart]
+        keep, parent = np.zeros(len(a), bool), self.parent
+        for i, (p, q) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            while (up := int(parent[p])) != p:
+                p = up
+            while (up := int(parent[q])) != q:
+                q = up
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                keep[i] = True
+        if keep.any():
+            yield a[keep], b[keep]
+
     def linked(self, own: np.ndarray, probing: np.ndarray, free: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Links, as row numbers, that join every own row and every other one near it, directly or over others.
 
-        At most four links a member come out: where there are more, the group is searched as a graph, and a member leaves the
-        search once it is reached.
+        A small group's pairs are compared at once. A large one is split on the bits not yet used, into groups of which those that are
+        joined already are left alone; where there are no such bits, it is searched as a graph that a member leaves once it is reached.
         """
         everyone, x = np.concatenate([own, probing]), self.x
         if len(own) * len(everyone) <= self.cells:
@@ -249,8 +276,7 @@ class _Bucket:
                 keep = self._close(own[a], everyone[b])
                 a, b = a[keep], b[keep]
             if len(a) <= 4 * len(everyone):
-                if len(a):
-                    yield own[a], everyone[b]
+                yield from self._joining(own[a], everyone[b])
                 return
         elif len(free) >= 4 * (self.radius + 1):
             # exact again on the bits not yet used: radius + 1 parts, of which one agrees
@@ -261,7 +287,9 @@ class _Bucket:
                 for some in np.split(order, np.flatnonzero(np.diff(masked[order])) + 1):
                     mine = some < len(own)
                     if len(some) > 1 and mine.any():
-                        yield from self.linked(everyone[some[mine]], everyone[some[~mine]], [b for b in free if b not in bits])
+                        roots = self._roots(everyone[some])
+                        if (roots != roots[0]).any():
+                            yield from self.linked(everyone[some[mine]], everyone[some[~mine]], [b for b in free if b not in bits])
             return
         left = everyone
         while len(left):
@@ -271,7 +299,7 @@ class _Bucket:
                 if self.y is not None and near.any():
                     near[near] = self._close(left[near], front[:1])
                 if near.any():
-                    yield np.repeat(front[:1], near.sum()), left[near]
+                    yield from self._joining(np.repeat(front[:1], near.sum()), left[near])
                     front, left = np.concatenate([front, left[near]]), left[~near]
                 front = front[1:]
 
