@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ STOP_WORDS = [
 MIN_CONTENT, MIN_CHUNK, MIN_QUESTION, MIN_COMPOSED, MIN_SYNTHESIS = 50, 30, 10, 15, 20
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: an expression inside a lambda is computed for every element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -61,12 +68,12 @@ def answer_matches(predicted: Column, gold: Column) -> Column:
 
 def surface_form(content: Column, names: Column) -> Column:
     """The first of the names that occurs in the content, whatever its case; null if none."""
-    return F.get(F.filter(names, lambda n: F.contains(F.lower(content), F.lower(n))), 0)
+    return bind(F.lower(content), lambda low: F.get(F.filter(names, lambda n: F.contains(low, F.lower(n))), 0))
 
 
 def mentions_any(content: Column, names: Column) -> Column:
     """P10."""
-    return F.exists(names, lambda n: F.contains(F.lower(content), F.lower(n)))
+    return bind(F.lower(content), lambda low: F.exists(names, lambda n: F.contains(low, F.lower(n))))
 
 
 def leaks(question: Column, entity: Column) -> Column:
@@ -142,6 +149,10 @@ def share(hits: Column, total: Column) -> Column:
 
 def distinct_names(names: Column) -> Column:
     """Stripped, without empty ones, the first of each lower-cased name, in order."""
-    bare = F.filter(F.transform(names, strip), lambda n: n != "")
-    lower = F.transform(bare, F.lower)
-    return F.filter(bare, lambda n, i: F.array_position(lower, F.lower(n)) == i + 1)
+    return first_of_each(F.filter(F.transform(names, strip), lambda n: n != ""), lambda n, i: n)
+
+
+def first_of_each(names: Column, make: Callable[[Column, Column], Column]) -> Column:
+    """make(name, position) of the first of each lower-cased name, in order."""
+    firsts = lambda n, low: F.filter(F.transform(n, lambda x, i: F.struct(make(x, i).alias("it"), F.get(low, i).alias("low"), i.alias("at"))), lambda s: F.array_position(low, s["low"]) == s["at"] + 1)
+    return bind(names, lambda n: bind(F.transform(n, F.lower), lambda low: F.transform(firsts(n, low), lambda s: s["it"])))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmesh.functions.text import hop_path, numbered, surface_form
+from quillmesh.functions.text import bind, first_of_each, hop_path, numbered, surface_form
 
 
 def atomic_seeds(shared: DataFrame, least_layouts: int = 3, most: int = 30) -> DataFrame:
@@ -28,15 +28,15 @@ def seed_appearances(seeds: DataFrame, contents: DataFrame, most: int = 6, extra
     return out.withColumn("shared_entity", surface_form(F.col("content"), F.col("names"))).filter("shared_entity is not null").drop("names")
 
 
-def atomic_questions(appearances: DataFrame, mentioned: DataFrame) -> DataFrame:
+def atomic_questions(appearances: DataFrame, pattern: str = "[A-Z][a-z]+") -> DataFrame:
     """Atomic QAs by the offline judge: about each appearance, answered by the layout's last mention of another name; both roles.
 
+    appearances have text and ocr_text: the names are found again in these few layouts, which is less than to join all mentions.
     sh_id numbers a document's by name, layout and role (W1).
     """
-    last = mentioned.groupBy("doc_id", "layout_id").agg(F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("said"))
-    out = appearances.join(last, ["doc_id", "layout_id"])
-    others = F.filter("said", lambda s: F.lower(s["name"]) != F.lower(F.col("shared_entity")))
-    out = out.withColumn("answer", F.try_element_at(others, F.lit(-1))["name"]).filter("answer is not null").drop("said")
+    names = first_of_each(F.regexp_extract_all(F.coalesce("text", "ocr_text"), F.lit(pattern), F.lit(0)), lambda n, i: n)
+    others = bind(F.lower("shared_entity"), lambda own: F.filter(names, lambda n: F.lower(n) != own))
+    out = appearances.withColumn("answer", F.try_element_at(others, F.lit(-1))).filter("answer is not null").drop("text", "ocr_text")
     out = out.withColumn("question_role", F.explode(F.array(F.lit("bridge"), F.lit("target"))))
     order = Window.partitionBy("doc_id").orderBy("canonical_name", "layout_id", "question_role")
     return out.withColumn("sh_id", numbered("sh", F.col("doc_id"), F.row_number().over(order)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.functions.text import derive_modality, distinct_names, share, strip, text_or_empty, truthy
+from quillmesh.functions.text import bind, derive_modality, distinct_names, share, strip, text_or_empty, truthy
 
 
 def pair_with_truth(answers: DataFrame, truth: DataFrame) -> DataFrame:
@@ -65,8 +65,8 @@ def benchmark_entities(bridges: Column, trace: Column, points: Column, final_ans
 def entity_recall(context: Column, names: Column) -> tuple[Column, Column, Column]:
     """Hits, total and recall of distinct names in the whole context; 0 without context, null without names."""
     unique, text = distinct_names(names), F.lower(text_or_empty(context))
-    hits = F.size(F.filter(unique, lambda n: F.contains(text, F.lower(n))))
-    return hits, F.size(unique), F.when(text == "", F.lit(0.0)).otherwise(share(hits, F.size(unique)))
+    hits = bind(text, lambda t: F.size(F.filter(unique, lambda n: F.contains(t, F.lower(n)))))
+    return hits, F.size(unique), F.when(text_or_empty(context) == "", F.lit(0.0)).otherwise(share(hits, F.size(unique)))
 
 
 def step_coverage(response: Column, kind: Column, steps: Column, covered: Column) -> Column:

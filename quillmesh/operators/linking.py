@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmesh.functions.text import content_words, normalize
+from quillmesh.functions.text import content_words, first_of_each, normalize
 from quillmesh.operators.graph import components
 from quillmesh.storage import materialize
 
@@ -15,9 +15,7 @@ from quillmesh.storage import materialize
 def mentions(contents: DataFrame, pattern: str = "[A-Z][a-z]+") -> DataFrame:
     """Names by a pattern, each lower-cased name once a layout (D1: the first stays). The dedup is within the layout's own array."""
     said = F.coalesce("text", "ocr_text")
-    found = F.regexp_extract_all(said, F.lit(pattern), F.lit(0))
-    lower = F.transform(found, F.lower)
-    first = F.filter(F.transform(found, lambda n, i: F.struct(i.alias("ord"), n.alias("name"))), lambda s: F.array_position(lower, F.lower(s["name"])) == s["ord"] + 1)
+    first = first_of_each(F.regexp_extract_all(said, F.lit(pattern), F.lit(0)), lambda n, i: F.struct(i.alias("ord"), n.alias("name")))
     return contents.select("doc_id", "layout_id", "page_id", "modality", F.inline(first)).select("*", F.lit("group").alias("type"))
 
 

@@ -53,12 +53,12 @@ def leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.groupBy("doc_id", "name").agg(F.count("*").alias("n"))
 
 
-def appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compose.seed_appearances(compose.atomic_seeds(shared(spark, sf_dir)), contents(spark, sf_dir))
+def appearances(spark: SparkSession, sf_dir: str, extra: list[str] | None = None) -> DataFrame:
+    return compose.seed_appearances(compose.atomic_seeds(shared(spark, sf_dir)), contents(spark, sf_dir), extra=extra)
 
 
 def atomic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = compose.atomic_questions(appearances(spark, sf_dir), found_mentions(spark, sf_dir))
+    base = compose.atomic_questions(appearances(spark, sf_dir, ["text", "ocr_text"]))
     return compose.with_text_redundancy(materialize(base, "atomic"), layouts(spark, sf_dir))
 
 
