@@ -51,6 +51,18 @@ def join_counted(rows_of: DataFrame, counted: DataFrame, on: list[str], total: i
     return met.filter("_qm_hot is not null").withColumnRenamed("_qm_hot", value).unionByName(cold)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt anew if it is a plain scan of fewer parts than there are cores: a small table of one row group would keep one core busy.
+
+    A larger table, and what comes out of a shuffle, is left as it is.
+    """
+    plan = df._jdf.queryExecution().executedPlan()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" or plan.outputPartitioning().numPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 class Sink:
     """Gathers output rows by column and gives Arrow batches of a schema."""
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmesh.llm.common import Sink, cuts, rows
+from quillmesh.llm.common import Sink, cuts, rows, spread
 
 ORDER = 5
 START, END = chr(1), chr(2)
@@ -265,4 +265,4 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
     added = pa.schema([("_qm_lang", pa.string()), ("_qm_score", pa.float64()), ("_qm_entropy", pa.float64()), ("_qm_rejected", pa.bool_())])
     kinds = "_qm_lang string, _qm_score double, _qm_entropy double, _qm_rejected boolean"
     out = T.StructType([*docs.schema.fields, *T._parse_datatype_string(kinds).fields])
-    return docs.mapInArrow(run, out)
+    return spread(docs).mapInArrow(run, out)

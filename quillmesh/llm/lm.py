@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import Sink, cuts, rows
+from quillmesh.llm.common import Sink, cuts, rows, spread
 from quillmesh.storage import materialize
 
 #: Classes and places in a class: the vocabulary has their product. The first class holds the edge of a text and hashed places.
@@ -55,7 +55,7 @@ def word_counts(docs: DataFrame, most: int = 300_000) -> DataFrame:
                 counts.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], schema=schema)
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return spread(docs.select(F.col("text").cast("string").alias("text"))).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -253,7 +253,7 @@ def _round(docs: DataFrame, shared_words, start: np.ndarray, offset: int, step:
         return pd.DataFrame({"node": [int(group["node"].iloc[0]) // fan_in], "block": [group["block"].iloc[0]], "seen": [seen], "w": [(total / seen).astype(np.float32).tobytes()]})
 
     kinds = "node long, block int, seen double, w binary"
-    weights = materialize(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, kinds), "weights")
+    weights = materialize(spread(docs.select(F.col("text").cast("string").alias("text"))).mapInArrow(run, kinds), "weights")
     top = weights.agg(F.max("node")).first()[0]
     if top is None:
         return start
@@ -374,4 +374,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         flush()
         yield sink.batch()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(run, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")

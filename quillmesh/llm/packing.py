@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import Sink, cuts, rows
+from quillmesh.llm.common import Sink, cuts, rows, spread
 from quillmesh.storage import materialize
 
 #: Texts that are split and merged here, and how; the tokenizer's own pattern says the same of these characters.
@@ -214,7 +214,7 @@ def pieces(docs: DataFrame, spec: str, capacity: int = 2048, separator: int = 0,
         if sink.columns[0]:
             yield from placed(first)[0]
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack, _PIECES)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(pack, _PIECES)
 
 
 def pack(docs: DataFrame, spec: str, capacity: int = 2048, separator: int = 0, slack: int = 2, carry: int | None = None, fan_in: int | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import rows
+from quillmesh.llm.common import rows, spread
 
 MARK = "▁"
 #: Kinds of pieces in a model file.
@@ -270,7 +270,7 @@ def encode(docs: DataFrame, model: bytes, decoded: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(out)
 
     kinds = "doc_id long, ids array<int>" + ", n_chars long, n_ids long, whole boolean" * decoded
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kinds)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(run, kinds)
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import Sink, cuts, join_counted, rows
+from quillmesh.llm.common import Sink, cuts, join_counted, rows, spread
 from quillmesh.operators.graph import components
 from quillmesh.storage import materialize
 
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
                 yield sink.batch()
         yield sink.batch()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(run, "doc_id long, fp long")
 
 
 def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -113,7 +113,7 @@ def sketches(docs: DataFrame, words: int, prints: int) -> DataFrame:
             fps = pa.ListArray.from_arrays(pa.array(np.arange(len(same) + 1, dtype=np.int32) * prints), pa.array(np.concatenate(found)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.int64()), fps], names=["_qm_id", "_qm_hash", "_qm_same", "_qm_fps"])
 
-    return docs.select("_qm_id", "_qm_hash", "_qm_text").mapInArrow(run, "_qm_id long, _qm_hash long, _qm_same long, _qm_fps array<long>")
+    return spread(docs.select("_qm_id", "_qm_hash", "_qm_text")).mapInArrow(run, "_qm_id long, _qm_hash long, _qm_same long, _qm_fps array<long>")
 
 
 def bit_counts(fps: DataFrame, prints: int = 1) -> list[tuple[int, np.ndarray]]:

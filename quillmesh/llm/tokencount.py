@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import Sink, rows
+from quillmesh.llm.common import Sink, rows, spread
 
 _READY: dict[tuple, ByteTokens] = {}
 RULES = ("majority", "start", "end")
@@ -99,7 +99,7 @@ def section_counts(docs: DataFrame, ranks: str, pattern: str, rule: str = "major
                 yield sink.batch()
         yield sink.batch()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, section int, char_start long, char_end long, n_tokens long, n_crossing long")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(run, "doc_id long, section int, char_start long, char_end long, n_tokens long, n_crossing long")
 
 
 def field_counts(table: DataFrame, key: str, fields: list[str], ranks: str, pattern: str, rule: str = "majority", joint: str = "\n") -> DataFrame:
