@@ -56,9 +56,8 @@ def spread(df: DataFrame) -> DataFrame:
 
     A larger table, and what comes out of a shuffle, is left as it is.
     """
-    plan = df._jdf.queryExecution().executedPlan()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" or plan.outputPartitioning().numPartitions() >= cores:
+    query, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
+    if query.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec" or query.toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmesh.llm import langid, linededup, lm, packing, queries, sentencepiece, tokencount, urls
-from quillmesh.llm.common import cuts
+from quillmesh.llm.common import cuts, spread
 
 DOCS = "doc_id long, text string, lang string, piece string, bin int, _extra double"
 LONG = "\n".join(f"line {k} of a very long text with Ünïcode and numbers {k * 7}" for k in range(4000))
@@ -40,6 +40,23 @@ def test_cuts():
     assert list(cuts(b"")) == [b""] and list(cuts(b"x" * 500, 100)) == [b"x" * 500]
 
 
+def test_spread_leaves_large_scans(spark, tmp_path):
+    """A scan of as many parts as cores or more stays one, as does what comes out of a shuffle; a smaller one is dealt to the cores."""
+    cores = spark.sparkContext.defaultParallelism
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    spark.range(100).repartition(3 * cores).write.parquet(str(tmp_path / "many"))
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a part for each file
+        assert shuffles(spread(spark.read.parquet(str(tmp_path / "many")))) == 0
+        one = spread(spark.read.parquet(str(tmp_path / "one")))
+        assert shuffles(one) == 1 and one.count() == 100
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    grouped = spark.range(100).groupBy("id").count()
+    assert spread(grouped) is grouped
+
+
 def test_word_ids_equal_the_tokenizer():
     ids, whole = packing.WordIds(queries.word_spec()), tokenizer()
     random.seed(1)
